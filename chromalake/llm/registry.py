@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chromalake.llm import oracles
 from chromalake.llm.minhash import op10_minhash_large_small_star
+from chromalake.llm.nb_svm import op8_nb_support_vectors
+from chromalake.llm.quality_rules import op4_line_first_rules
 from chromalake.llm.sharding import op3_weighted_hash_tree
 from chromalake.llm.url_filter import op2_url_language_model
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_language_model, op3_weighted_hash_tree, op10_minhash_large_small_star)}
+    return {f.__name__: f for f in (
+        op2_url_language_model,
+        op3_weighted_hash_tree,
+        op4_line_first_rules,
+        op8_nb_support_vectors,
+        op10_minhash_large_small_star,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
