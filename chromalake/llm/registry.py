@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chromalake.llm import oracles
 from chromalake.llm.minhash import op10_minhash_large_small_star
 from chromalake.llm.nb_svm import op8_nb_support_vectors
+from chromalake.llm.packing import op7_sum_of_squares
 from chromalake.llm.quality_rules import op4_line_first_rules
 from chromalake.llm.sharding import op3_weighted_hash_tree
 from chromalake.llm.url_filter import op2_url_language_model
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_url_language_model,
         op3_weighted_hash_tree,
         op4_line_first_rules,
+        op7_sum_of_squares,
         op8_nb_support_vectors,
         op10_minhash_large_small_star,
     )}
