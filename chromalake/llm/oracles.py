@@ -38,3 +38,12 @@ cum AS (SELECT bin, sum(a) OVER (ORDER BY bin DESC) ta, sum(r) OVER (ORDER BY bi
 cut AS (SELECT coalesce((SELECT bin * 10000 FROM cum WHERE na > 0 AND nr > 0 ORDER BY ta * nr - tr * na DESC, bin LIMIT 1), 0)::BIGINT threshold)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) verdict, score, threshold FROM judged, cut
 """
+
+ALL["op5_warc_source"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT payload_bytes, sha256(coalesce(html, '')) payload_digest FROM pages),
+heads AS (SELECT payload_digest, min(page_id) head FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN 'revisit' ELSE 'response' END record_type,
+  CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END refers_to
+FROM p LEFT JOIN heads USING (payload_digest)
+"""

@@ -10,9 +10,11 @@ from chromalake.llm import oracles
 from chromalake.llm.minhash import op10_minhash_large_small_star
 from chromalake.llm.nb_svm import op8_nb_support_vectors
 from chromalake.llm.packing import op7_sum_of_squares
+from chromalake.llm.pivots import op6_pivot_permutation
 from chromalake.llm.quality_rules import op4_line_first_rules
 from chromalake.llm.sharding import op3_weighted_hash_tree
 from chromalake.llm.url_filter import op2_url_language_model
+from chromalake.llm.warc import op5_warc_source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_url_language_model,
         op3_weighted_hash_tree,
         op4_line_first_rules,
+        op5_warc_source,
+        op6_pivot_permutation,
         op7_sum_of_squares,
         op8_nb_support_vectors,
         op10_minhash_large_small_star,
