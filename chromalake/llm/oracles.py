@@ -1,7 +1,32 @@
 """DuckDB SQL that restates queries of this subpackage."""
 
+from chromalake.llm.licenses import KNOWN, SPELLINGS
+
 ALL: dict[str, str] = {}
 
+
+def _canonical(x: str) -> str:
+    out = f"' ' || trim(lower(regexp_replace(regexp_replace({x}, '\\([cC]\\)', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' '"
+    out = f"CASE WHEN starts_with({out}, ' copyright ') OR starts_with({out}, ' copr ') THEN '  ' ELSE {out} END"
+    for other, one in SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {one} ')"
+    return f"trim({out})"
+
+
+def _lines(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: {_canonical('l')}), lambda l: l <> '')"
+
+
+_QUOTED = ", ".join("('{}', '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in KNOWN)
+ALL["op1_license_digests"] = f"""
+WITH known AS (SELECT sha256(array_to_string({_lines('body')}, ' ')) digest, min(license) license FROM (VALUES {_QUOTED}) t(license, body) GROUP BY 1),
+docs AS (SELECT row_number() OVER () rid, doc_id, {_lines("coalesce(text, '')")} ls FROM documents),
+found AS (SELECT rid, count(*) n, string_agg(DISTINCT license, ',' ORDER BY license) l FROM (SELECT rid, unnest(ls) line FROM docs) JOIN known ON digest = sha256(line) GROUP BY rid)
+SELECT doc_id, CASE WHEN len(ls) > 0 THEN sha256(array_to_string(ls, ' ')) END text_digest, known.license text_license,
+  coalesce(n, 0)::BIGINT n_license_lines, coalesce(l, '') line_licenses
+FROM docs LEFT JOIN found USING (rid) LEFT JOIN known ON len(ls) > 0 AND known.digest = sha256(array_to_string(ls, ' '))
+"""
+
 _OP2_RULES = """
   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

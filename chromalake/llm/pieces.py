@@ -38,8 +38,8 @@ from chromalake.runtime import ship_package
 SPACE = 0x2581
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Cached ids of chunks and cached verdicts on pairs, per worker.
-CACHE_IDS, CACHE_PAIRS = 4_000_000, 2_000_000
+#: Cached ids of chunks, and the slots (a power of two) of cached verdicts on pairs, per worker.
+CACHE_IDS, PAIR_BITS = 6_000_000, 21
 _NONE, _ODD = -1, -2  # no piece; a character without a piece
 
 
@@ -77,6 +77,41 @@ def _hash_step(h: np.ndarray, cp: np.ndarray) -> np.ndarray:
     return tk.fold(h, cp.astype(np.uint64))
 
 
+class PairTable:
+    """Verdicts by a non-negative key: open addressing, probed for whole arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.key, self.ok, self.held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool), 0
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(verdict, whether it is unknown)."""
+        at = self._slot(key)
+        got = self.key[at]
+        ok = self.ok[at]
+        left = np.flatnonzero((got != key) & (got != -1))
+        new = got == -1
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            got = self.key[at[left]]
+            ok[left] = self.ok[at[left]]
+            new[left] = got == -1
+            left = left[(got != key[left]) & (got != -1)]
+        return ok, new
+
+    def put(self, key: np.ndarray, ok: np.ndarray) -> None:
+        if self.held + len(key) > self.mask // 2:
+            self.key[:], self.held = -1, 0
+        self.held += len(key)
+        for k, v, at in zip(key.tolist(), ok.tolist(), self._slot(key).tolist(), strict=True):
+            while self.key[at] != -1:
+                at = (at + 1) & self.mask
+            self.key[at], self.ok[at] = k, v
+
+
 class Pieces:
     """A model's pieces, and encoding by them."""
 
@@ -109,6 +144,8 @@ class Pieces:
         self.longest = max(len(t) for t in self.id)
         # a chunk starts at each word unless some piece reaches into the next word
         self.split = not any(c != "▁" and d == "▁" for t in self.id for c, d in zip(t, t[1:]))
+        self.held = np.zeros(0x110000, bool)
+        self.held[[ord(c) for t in self.id for c in t]] = True
         self.value = np.array([*self.score, min(self.score) - 10.0])
         keys = np.array([self._key(self.text[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
@@ -116,7 +153,7 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("piece keys collide")
         self.raw = [self._raw(i) for i in range(len(self.text))]
-        self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.pairs = PairTable(PAIR_BITS)
         self.alone = np.full(len(self.text), -1, np.int8)
         self._clear()
 
@@ -159,30 +196,20 @@ class Pieces:
 
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging keeps two pieces apart; odd characters never merge."""
-        out = np.ones(len(left), bool)
-        known = (left >= 0) & (right >= 0)
-        if not known.any():
-            return out
         n = len(self.text)
-        key = left[known].astype(np.int64) * n + right[known]
-        uniq, inverse = np.unique(key, return_inverse=True)
-        at = np.searchsorted(self.pairs, uniq)
-        new = at == len(self.pairs)
-        new[~new] = self.pairs[at[~new]] != uniq[~new]
+        free = (left < 0) | (right < 0)
+        key = np.where(free, -1, left * n + right)
+        ok, new = self.pairs.get(key)
+        new &= ~free
         if new.any():
-            fresh = uniq[new]
-            verdict = np.array([self.merge(self.text[k // n] + self.text[k % n]) == [self.text[k // n], self.text[k % n]] for k in fresh.tolist()])
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
-                fresh, verdict = uniq, np.array([self.merge(self.text[k // n] + self.text[k % n]) == [self.text[k // n], self.text[k % n]] for k in uniq.tolist()])
-            every = np.concatenate([self.pairs, fresh])
-            order = np.argsort(every, kind="stable")
-            self.pairs, self.pair_ok = every[order], np.concatenate([self.pair_ok, verdict])[order]
-        out[known] = self.pair_ok[np.searchsorted(self.pairs, uniq)][inverse]
-        return out
-
-    def viterbi(self, cp: np.ndarray) -> list[np.ndarray]:
-        """Pieces (or _ODD) of each of many words of one length, and their widths, by word."""
+            fresh = np.unique(key[new])
+            verdict = [self.merge(self.text[k // n] + self.text[k % n]) == [self.text[k // n], self.text[k % n]] for k in fresh.tolist()]
+            self.pairs.put(fresh, np.array(verdict, bool))
+            ok[new] = np.array(verdict, bool)[np.searchsorted(fresh, key[new])]
+        return ok | free
+
+    def viterbi(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids word after word, their number in each word) of many words of one length."""
         w, n = cp.shape
         found: list[np.ndarray] = []  # found[k][:, s]: the piece at s of k + 1 characters
         h = np.zeros((w, n), np.uint64)
@@ -204,47 +231,54 @@ class Pieces:
                     continue
                 p = piece[rows]
                 if self.type == BPE:
-                    ok = np.isfinite(value[rows, s])
+                    ok = np.isfinite(value[rows, s]) & ~np.isfinite(value[rows, e])
                     if s:
                         ok[ok] = self._apart(last[rows[ok], s], p[ok])
                     real = ok & (p >= 0)
                     ok[real] = self._stands(p[real])
-                    got = np.where(ok, float(e - s), -np.inf)
+                    r, got, p = rows[ok], float(e - s), p[ok]
                 else:
                     got = value[rows, s] + self.value[np.where(p < 0, len(self.text), p)]
-                better = got > value[rows, e] if self.type == UNIGRAM else ok & ~np.isfinite(value[rows, e])
-                r = rows[better]
-                value[r, e], last[r, e], back[r, e] = got[better], p[better], s
-        out = []
-        for r in range(w):
-            path, e = [], n
-            while e:
-                path.append((last[r, e], back[r, e]))
-                e = back[r, e]
-            ids: list[int] = []
-            for p, s in reversed(path):
-                if p >= 0:
-                    ids.append(p)
-                elif self.fallback:
-                    ids += self.bytes[list(chr(cp[r, s]).encode())].tolist()
-                elif not ids or ids[-1] != self.unk:
-                    ids.append(self.unk)
-            out.append(np.array(ids, np.int32))
-        return out
+                    better = got > value[rows, e]
+                    r, got, p = rows[better], got[better], p[better]
+                value[r, e], last[r, e], back[r, e] = got, p, s
+        # all paths are walked back at once
+        live, at = np.arange(w), np.full(w, n)
+        rows_, from_, got_ = [], [], []
+        while len(live):
+            got_.append(last[live, at])
+            at = back[live, at]
+            rows_.append(live)
+            from_.append(at)
+            live, at = live[at > 0], at[at > 0]
+        row, start, piece = np.concatenate(rows_), np.concatenate(from_), np.concatenate(got_)
+        order = np.lexsort((start, row))
+        row, start, piece = row[order], start[order], piece[order]
+        if (piece < 0).any():
+            parts: list[list[int]] = []
+            for r, k, p in zip(row.tolist(), start.tolist(), piece.tolist(), strict=True):
+                odd = self.bytes[list(chr(cp[r, k]).encode())].tolist() if self.fallback else [self.unk]
+                again = p < 0 and not self.fallback and parts and parts[-1] == [self.unk]  # unknowns in a row are one
+                parts.append([p] if p >= 0 else [] if again else odd)
+            count = np.array([len(x) for x in parts])
+            return np.array([x for part in parts for x in part], np.int32), np.bincount(row, weights=count, minlength=w).astype(np.int64)
+        return piece.astype(np.int32), np.bincount(row, minlength=w)
 
     def _learn(self, cp: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
-        new: list[np.ndarray] = [None] * len(keys)  # type: ignore[list-item]
+        done, flat, counts = [], [self.ids], []
         for n in np.unique(size):
             same = np.flatnonzero(size == n)
-            step = max(1, (1 << 20) // (int(n) * min(int(n), self.longest)))  # the tables of a step stay small
+            step = max(1, (1 << 22) // (int(n) * min(int(n), self.longest)))  # the tables of a step stay small
             for a in range(0, len(same), step):
                 part = same[a : a + step]
-                for i, ids in zip(part.tolist(), self.viterbi(cp[start[part][:, None] + np.arange(n)]), strict=True):
-                    new[i] = ids
-        count = np.array([len(x) for x in new], np.int64)
+                ids, count = self.viterbi(cp[start[part][:, None] + np.arange(n)])
+                done.append(keys[part])
+                flat.append(ids)
+                counts.append(count)
+        count = np.concatenate(counts)
         at = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
-        self.ids = np.concatenate([self.ids, *new])
-        every = np.concatenate([self.chunk, keys])
+        self.ids = np.concatenate(flat)
+        every = np.concatenate([self.chunk, *done])
         order = np.argsort(every, kind="stable")
         self.chunk, self.at, self.size = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, count])[order]
 
@@ -267,6 +301,8 @@ class Pieces:
         begin[chars[:-1][full]] = True
         if self.split:
             begin[1:] |= (cp[1:] == SPACE) & (cp[:-1] != SPACE)
+        if self.fallback:  # a character that no piece holds meets its neighbours in no piece
+            begin[1:] |= self.held[cp[1:]] != self.held[cp[:-1]]
         start = np.flatnonzero(begin)
         end = np.append(start[1:], len(cp))
         first = np.searchsorted(start, chars)
@@ -304,7 +340,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces(model)
         for batch in batches:
-            for i, j, buf, off in tk.slices(batch.column(1), 1 << 20):
+            for i, j, buf, off in tk.slices(batch.column(1), 4 << 20):
                 ids, bounds = m.encode(buf, off)
                 same = [m.decode(ids[bounds[d] : bounds[d + 1]]).encode() == buf[off[d] : off[d + 1]].tobytes() for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays(

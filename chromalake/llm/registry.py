@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chromalake.llm import oracles
+from chromalake.llm.licenses import op1_license_digests
 from chromalake.llm.minhash import op10_minhash_large_small_star
 from chromalake.llm.nb_svm import op8_nb_support_vectors
 from chromalake.llm.packing import op7_sum_of_squares
+from chromalake.llm.pieces import op9_piece_viterbi
 from chromalake.llm.pivots import op6_pivot_permutation
 from chromalake.llm.quality_rules import op4_line_first_rules
 from chromalake.llm.sharding import op3_weighted_hash_tree
@@ -19,6 +21,7 @@ from chromalake.llm.warc import op5_warc_source
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_license_digests,
         op2_url_language_model,
         op3_weighted_hash_tree,
         op4_line_first_rules,
@@ -26,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_pivot_permutation,
         op7_sum_of_squares,
         op8_nb_support_vectors,
+        op9_piece_viterbi,
         op10_minhash_large_small_star,
     )}
 
