@@ -287,6 +287,19 @@ def _residual_links(spark, sets: DataFrame, confirmed: DataFrame, percent: int)
     return _confirm(few.select(*cols).unionByName(many.select(*cols)), ["family", "chunk", "block"], percent)
 
 
+def keep_one(spark, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, all columns; rows that repeat an id become one row.
+
+    Documents without an id are linked with nothing and stay.
+    """
+    gone = near_duplicates(spark, docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
+    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+        return out
+    named = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
+    return named.unionByName(out.where(F.col(doc_id).isNull()))
+
+
 def op10_minhash_large_small_star(spark, sf_dir: str) -> DataFrame:
     """Components of all documents that share 80 % of their two-word shingles."""
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2, percent=80)
