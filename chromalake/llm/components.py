@@ -3,12 +3,12 @@
 Edges are a distributed table throughout; each round is two group-wise minima and two
 equi-joins whose small side has one row per node, so a hub's edges can be split by the
 skew handling of adaptive execution.  Every round is written to the shared scratch
-folder, and the loop ends when a round leaves the edges as they were.
+folder; the loop ends when the edges are a forest of stars, which one join tells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.runtime import materialize, release
@@ -18,7 +18,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,26 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every ``u`` has one ``v``, and no ``v`` is a ``u``."""
+    per = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return per.join(per.select(F.col("u").alias("w")), F.col("lo") == F.col("w"), "left").where("lo <> hi or w is not null").isEmpty()
+
+
 def connected_components(spark, edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest reachable node, for every node of an edge (u, v).
 
     Self-loops and nulls are ignored; direction and repetition of edges do not matter.
     """
     clean = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, state, old = clean, None, []
+    now = materialize(spark, clean, name)
     for _ in range(max_rounds):
-        seen = Observation()
-        stats = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
-        now = materialize(spark, _small_star(_large_star(now)).observe(seen, *stats), name)
-        old.append(now)
-        after = (seen.get["n"], seen.get["h"])
-        if after == state or not after[0]:
+        if _is_star_forest(now):
             break
-        state = after
+        old, now = now, materialize(spark, _small_star(_large_star(now)), name)
+        release(spark, old)
     else:
         raise RuntimeError(f"{name}: components did not settle in {max_rounds} rounds")
-    release(spark, *old[:-1])
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = out.unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    pair = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))
+    out = now.select(pair.alias("p")).select("p.node", "p.component").distinct()
     out.scratch = now.scratch  # type: ignore[attr-defined]
     return out

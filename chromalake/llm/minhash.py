@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
@@ -216,7 +216,7 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     # one node per distinct set
     distinct = materialize(
         spark,
-        signed.where("d0 is not null and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")),
+        signed.where("d0 is not null and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "minhash-distinct",
     )
     bands = distinct.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(F.slice("sig", j * ROWS + 1, F.lit(ROWS))))).alias("band", "key"))
@@ -231,9 +231,8 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     families = connected_components(spark, checked, "minhash-family")
 
     # Full sets of family members; the family's size decides into how many chunks it is cut.
-    size = signed.where("doc_id is not null").groupBy("doc_id").agg(F.sum("n_shingles").alias("_s"))
-    members = families.join(size, families["node"] == size["doc_id"]).select("node", F.col("component").alias("family"), "_s")
-    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("_s").alias("_t")).select(
+    members = families.join(distinct.select("node", "n"), "node").select("node", F.col("component").alias("family"), "n")
+    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("_t")).select(
         "family", "members", F.ceil(F.greatest(F.col("members") / CHUNK, F.col("_t") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     wanted = members.join(sized, "family").select("node", "family", "members", "chunks")
     texts = base.join(wanted, base["doc_id"] == wanted["node"]).select("node", "text", "family", "members", "chunks")
@@ -243,11 +242,12 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     sets = sets.withColumn("chunk", F.pmod(order, F.col("chunks")).cast("int"))
     # a row of chunk 0 leads: it is compared with every chunk of its family
     placed = sets.withColumn("chunk", F.explode(F.when(F.col("chunk") == 0, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
-    confirmed = materialize(spark, _confirm(placed, ["family", "chunk"], percent), "minhash-links")
-    links = confirmed
-    if sets.where("chunks > 1").limit(1).count():
-        links = links.unionByName(_residual_links(spark, sets, confirmed, percent))
-    comps = connected_components(spark, links, "minhash-component")
+    confirmed = _confirm(placed, ["family", "chunk"], percent)
+    comps = connected_components(spark, confirmed, "minhash-component")
+    if not sets.where("chunks > 1").isEmpty():
+        more = materialize(spark, _residual_links(sets, comps, percent), "minhash-residual")
+        if not more.isEmpty():
+            comps = connected_components(spark, more.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), "minhash-component")
 
     # Rows that share an id join its component; sets lead to nodes, nodes to components.
     shared = distinct.select("d0", "d1", "node").join(comps, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
@@ -262,7 +262,7 @@ def _merge_shared_ids(spark, rows: DataFrame, signed: DataFrame) -> DataFrame:
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     rows = rows.withColumn("component_id", own)
     ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("d0", F.lit(0))).alias("lo"), F.max(F.coalesce("d0", F.lit(0))).alias("hi")).where("lo <> hi")
-    if not ids.limit(1).count():
+    if ids.isEmpty():
         return rows
     # an id with several texts ties the components of all of them together
     tied = rows.select("doc_id", "component_id").join(ids.select("doc_id"), "doc_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
@@ -270,9 +270,8 @@ def _merge_shared_ids(spark, rows: DataFrame, signed: DataFrame) -> DataFrame:
     return rows.join(merged, "component_id", "left").withColumn("component_id", F.coalesce("_to", "component_id")).drop("_to")
 
 
-def _residual_links(spark, sets: DataFrame, confirmed: DataFrame, percent: int) -> DataFrame:
+def _residual_links(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Links of split families between what lies outside the largest component and every chunk."""
-    comps = connected_components(spark, confirmed, "minhash-first")
     split = sets.where("chunks > 1")
     at = split.select("node", "family", "chunks").distinct().join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
