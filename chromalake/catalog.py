@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chromalake.plans import library
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(library.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(library.SQL)
