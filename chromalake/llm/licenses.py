@@ -65,7 +65,8 @@ def canonical_line(line: Column) -> Column:
     """Canonical form of a line; empty for a copyright line."""
     x = F.lower(F.regexp_replace(F.regexp_replace(line, r"\([cC]\)", " "), "[^a-zA-Z0-9]+", " "))
     x = F.concat(F.lit(" "), F.trim(x), F.lit(" "))
-    x = F.when(x.startswith(" copyright ") | x.startswith(" copr "), F.lit("  ")).otherwise(x)
+    notice = x.startswith(" copyright ") | x.startswith(" copr ") | line.rlike(r"^[^a-zA-Z0-9(]*(\([cC]\)|\u00a9)")
+    x = F.when(notice, F.lit("  ")).otherwise(x)
     for other, one in SPELLINGS:
         x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(x)

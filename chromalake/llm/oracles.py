@@ -7,7 +7,8 @@ ALL: dict[str, str] = {}
 
 def _canonical(x: str) -> str:
     out = f"' ' || trim(lower(regexp_replace(regexp_replace({x}, '\\([cC]\\)', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' '"
-    out = f"CASE WHEN starts_with({out}, ' copyright ') OR starts_with({out}, ' copr ') THEN '  ' ELSE {out} END"
+    notice = f"regexp_matches({x}, '^[^a-zA-Z0-9(]*(\\([cC]\\)|\u00a9)')"
+    out = f"CASE WHEN starts_with({out}, ' copyright ') OR starts_with({out}, ' copr ') OR {notice} THEN '  ' ELSE {out} END"
     for other, one in SPELLINGS:
         out = f"replace({out}, ' {other} ', ' {one} ')"
     return f"trim({out})"
@@ -59,8 +60,8 @@ scored AS (SELECT rid, floor(sum(d)::DOUBLE / count(*))::BIGINT score FROM grams
 judged AS (SELECT page_id, host, path, rule, score, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END v,
   least(2000, greatest(-2000, floor(score / 10000)))::INT bin FROM ruled JOIN scored USING (rid)),
 hist AS (SELECT bin, count(*) FILTER (v = 'allow') a, count(*) FILTER (v = 'block') r FROM judged WHERE v IS NOT NULL GROUP BY bin),
-cum AS (SELECT bin, sum(a) OVER (ORDER BY bin DESC) ta, sum(r) OVER (ORDER BY bin DESC) tr, sum(a) OVER () na, sum(r) OVER () nr FROM hist),
-cut AS (SELECT coalesce((SELECT bin * 10000 FROM cum WHERE na > 0 AND nr > 0 ORDER BY ta * nr - tr * na DESC, bin LIMIT 1), 0)::BIGINT threshold)
+cum AS (SELECT bin, coalesce(lead(bin) OVER (ORDER BY bin DESC), bin - 1) below, sum(a) OVER (ORDER BY bin DESC) ta, sum(r) OVER (ORDER BY bin DESC) tr, sum(a) OVER () na, sum(r) OVER () nr FROM hist),
+cut AS (SELECT coalesce((SELECT (bin + below + 1) * 5000 FROM cum WHERE na > 0 AND nr > 0 ORDER BY ta * nr - tr * na DESC, bin LIMIT 1), 0)::BIGINT threshold)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) verdict, score, threshold FROM judged, cut
 """
 

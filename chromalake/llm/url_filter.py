@@ -125,9 +125,9 @@ def score_urls(spark, pages: DataFrame, rules=RULES, page_id: str = "page_id", u
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
-    """One row: the lower edge of the bin that best parts allowed from blocked seeds.
+    """One row: the cut that best parts allowed from blocked seeds, midway between their bins.
 
-    At most 2 x SPAN + 1 bins; ties go to the lowest threshold.
+    At most 2 x SPAN + 1 bins; ties go to the lowest cut.
     """
     bin_ = F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.floor(F.col("_score") / BIN))).cast("int")
     hist = scored.where(F.col("_m").isNotNull()).groupBy(bin_.alias("bin")).agg(
@@ -136,11 +136,13 @@ def calibrate(scored: DataFrame) -> DataFrame:
     )
     up = W.partitionBy(F.lit(0)).orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0)
     every = W.partitionBy(F.lit(0))
-    ranked = hist.select("bin", F.sum("a").over(up).alias("ta"), F.sum("r").over(up).alias("tr"), F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"))
+    below = F.coalesce(F.lead("bin").over(W.partitionBy(F.lit(0)).orderBy(F.col("bin").desc())), F.col("bin") - 1)
+    ranked = hist.select("bin", below.alias("below"), F.sum("a").over(up).alias("ta"), F.sum("r").over(up).alias("tr"), F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"))
     gain = F.col("ta") * F.col("nr") - F.col("tr") * F.col("na")
     # without both kinds of seeds max_by sees no rows and the threshold is 0
-    best = ranked.where((F.col("na") > 0) & (F.col("nr") > 0)).agg(F.max(F.struct(gain.alias("g"), (-F.col("bin")).alias("b"))).alias("m"))
-    return best.select(F.coalesce(-F.col("m.b").cast("long") * BIN, F.lit(0)).cast("long").alias("threshold"))
+    best = ranked.where((F.col("na") > 0) & (F.col("nr") > 0)).agg(F.max(F.struct(gain.alias("g"), (-F.col("bin")).alias("b"), "below")).alias("m"))
+    cut = (F.col("m.below").cast("long") - F.col("m.b") + 1) * (BIN // 2)
+    return best.select(F.coalesce(cut, F.lit(0)).cast("long").alias("threshold"))
 
 
 def op2_url_language_model(spark, sf_dir: str) -> DataFrame:

@@ -195,6 +195,8 @@ class WarcReader(DataSourceReader):
         return [WarcPartition(f"{self.path}/{n}") for n in names]
 
     def read(self, partition):
+        if partition is None:  # no file at all
+            return
         fs, path = _fs(partition.path)
         wanted = lambda head: all(_fields(head)[c] in values for c, values in self.tests)
         types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
