@@ -86,12 +86,14 @@ def gene_integration(spark, activity: DataFrame, cells: DataFrame, rna: DataFram
     n_blocks = max(1, -(-cells.count() // block_cells))
     q = mx.subset(activity, genes).join(cut, "cell_id").select("block", F.lit(None).cast("string").alias("group"), "feature_id", "cell_id", F.col("value").cast("double").alias("value"))
     r = mx.subset(rna, genes).join(F.broadcast(ref), "cell_id").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("block", "group", "feature_id", "cell_id", F.col("value").cast("double").alias("value"))
+    r = r.toDF("r_block", "r_group", "r_feature", "r_cell", "r_value")  # fresh names, should both sides share a source
     kind = cells.schema["cell_id"].dataType.simpleString()
     rkind = rna_cells.schema["cell_id"].dataType.simpleString()
     gkind = rna.schema["feature_id"].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         cols = ["cell_id", "predicted_group", "prediction_score", "rna_predicted_cell", "genes", "values"]
+        b.columns = ["block", "group", "feature_id", "cell_id", "value"]
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in cols})
         ca, cb = sorted(a["cell_id"].unique()), sorted(b["cell_id"].unique())
@@ -105,7 +107,7 @@ def gene_integration(spark, activity: DataFrame, cells: DataFrame, rna: DataFram
         return pd.DataFrame({"cell_id": ca, "predicted_group": label, "prediction_score": score, "rna_predicted_cell": [cb[i] for i in best],
                              "genes": [[gs[j] for j in np.flatnonzero(v)] for v in imputed], "values": [v[v != 0].tolist() for v in imputed]})
 
-    both = q.groupBy("block").cogroup(r.groupBy("block")).applyInPandas(
+    both = q.groupBy("block").cogroup(r.groupBy("r_block")).applyInPandas(
         run, f"cell_id {kind}, predicted_group string, prediction_score double, rna_predicted_cell {rkind}, genes array<{gkind}>, values array<double>")
     from chromalake.runtime import materialize
 

@@ -88,9 +88,10 @@ def select_cells(
     plan = group_sample_counts(cells, group, sample).join(tier.where("tier = 2").select("group"), "group", "left_semi").groupBy("group").applyInPandas(
         _packed(min_cells, min_reps, max_reps), "group string, rep int, sample string, lo int, hi int")
     two = at.where("tier = 2").join(F.broadcast(plan), ["group", "sample"]).where((F.col("rs") > F.col("lo")) & (F.col("rs") <= F.col("hi")))
-    # tier 3: one random order, cut into replicates; the leftover makes one more
+    # tier 3: one random order, cut into replicates; a leftover of min_cells or more makes one more
     size3 = F.least(F.lit(max_cells), F.greatest(F.lit(min_cells), F.floor(F.col("total") / min_reps))).cast("int")
     three = at.where("tier = 3").withColumn("rep", (F.floor((F.col("rg") - 1) / size3) + 1).cast("int")).where(F.col("rep") <= max_reps)
+    three = three.where((F.col("rep") * size3 <= F.col("total")) | (F.col("total") - (F.col("rep") - 1) * size3 >= min_cells))
     # tier 4: disjoint parts, each topped up from the shared remainder
     part = int(min_cells * ratio)
     in_part = F.col("rg") <= part * min_reps
