@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from chromalake.functions.stats import correlation
 from chromalake.operators import matrix as mx
 from chromalake.runtime import materialize, ship_package
 
@@ -177,13 +178,13 @@ def projection_check(a: DataFrame, b: DataFrame) -> DataFrame:
     """(dim, correlation) of two embeddings of the same cells."""
     x = a.select("cell_id", F.posexplode("embedding").alias("dim", "x"))
     y = b.select("cell_id", F.posexplode("embedding").alias("dim", "y"))
-    return x.join(y, ["cell_id", "dim"]).groupBy("dim").agg(F.corr("x", "y").alias("correlation"))
+    return x.join(y, ["cell_id", "dim"]).groupBy("dim").agg(correlation(F.col("x"), F.col("y")).alias("correlation"))
 
 
 def depth_correlation(embedding: DataFrame, cells: DataFrame, depth: str = "fragments") -> DataFrame:
     """(dim from 1, correlation with log10 depth)."""
     long = embedding.select("cell_id", F.posexplode("embedding").alias("dim", "v")).join(cells.select("cell_id", F.log10(F.col(depth) + 1).alias("_d")), "cell_id")
-    return long.groupBy((F.col("dim") + 1).alias("dim")).agg(F.corr("v", "_d").alias("correlation"))
+    return long.groupBy((F.col("dim") + 1).alias("dim")).agg(correlation(F.col("v"), F.col("_d")).alias("correlation"))
 
 
 def drop_depth_dims(embedding: DataFrame, cells: DataFrame, cutoff: float = 0.75, depth: str = "fragments") -> DataFrame:

@@ -44,7 +44,7 @@ def drop_zero(counts: DataFrame, key: str = "cell_id") -> DataFrame:
 def row_variance(counts: DataFrame, n_cells: int, key: str = "feature_id") -> DataFrame:
     """Sample variance over ``n_cells`` columns, implicit zeros included."""
     s, q = F.sum("value"), F.sum(F.col("value") * F.col("value"))
-    return counts.groupBy(key).agg(((q - s * s / n_cells) / (n_cells - 1)).alias("variance"))
+    return counts.groupBy(key).agg(F.try_divide(q - s * s / n_cells, F.lit(n_cells - 1)).alias("variance"))
 
 
 def broadcast_arithmetic(counts: DataFrame, stats: DataFrame, by: str, stat: str, op: str) -> DataFrame:
@@ -137,7 +137,7 @@ def zscore(df: DataFrame, column: str = "embedding") -> DataFrame:
     zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
     sums = F.aggregate(F.col(column), zero, lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
     n = F.size(column)
-    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("_t.q") - F.col("_t.s") * F.col("_t.s") / n) / (n - 1)))
+    sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("_t.q") - F.col("_t.s") * F.col("_t.s") / n) / F.greatest(n - 1, F.lit(1))))
     stat = df.withColumn("_t", sums).withColumn("_z", F.struct((F.col("_t.s") / n).alias("m"), sd.alias("d")))
     z = F.transform(F.col(column), lambda x: F.when(F.col("_z.d") > 0, (x - F.col("_z.m")) / F.col("_z.d")).otherwise(F.lit(0.0)))
     return stat.withColumn(column, z).drop("_t", "_z")
