@@ -73,3 +73,28 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN head IS NOT NULL AND page_id IS DISTINCT FROM head THEN head END refers_to
 FROM p LEFT JOIN heads USING (payload_digest)
 """
+
+from chromalake.llm import quality_rules as _q  # noqa: E402
+
+_LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PHRASE = " OR ".join(f"contains({_LOW}, '{p}')" for p in _q.PHRASES)
+ALL["op4_line_first_rules"] = f"""
+WITH docs AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ln FROM docs),
+lines AS (SELECT *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') ws FROM split),
+live AS (SELECT rid, ln, line, ws, len(ws) nw, list_sum(list_transform(ws, lambda w: length(w))) chars,
+    list_sum(list_transform(ws, lambda w: (regexp_matches(w, '(!!|\\?\\?)$'))::INT)) doubled,
+    list_sum(list_transform(ws, lambda w: (regexp_full_match(w, '[|/~>-]+') OR w IN ('•', '·', '»', '›', '«', '‹'))::INT)) seps,
+    list_sum(list_transform(ws, lambda w: (regexp_matches(w, '[#*$%&|<>]'))::INT)) syms FROM lines WHERE len(ws) > 0),
+judged AS (SELECT *, (NOT regexp_matches(ws[-1], '([.!?:;,"'')\\]}}]|[^\\x00-\\x7F])$') AND nw < {_q.SHORT}) OR 100 * doubled >= {_q.DOUBLED} * nw
+    OR 100 * seps >= {_q.SEPARATORS} * nw OR 100 * syms > {_q.SYMBOLS} * nw OR (nw <= {_q.LONG} AND ({_PHRASE})) AS failed FROM live),
+per AS (SELECT rid, sum(nw)::BIGINT n_words, sum(chars)::BIGINT word_chars, sum(chars) FILTER (failed) lost, (count(*) - count(DISTINCT line))::BIGINT n_dup_lines FROM judged GROUP BY rid),
+words AS (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY ln, k) pos FROM (SELECT rid, ln, unnest(ws) w, generate_subscripts(ws, 1) k FROM live)),
+grams AS (SELECT rid, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM words WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+twice AS (SELECT rid, pos FROM grams WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+repeat AS (SELECT rid, count(DISTINCT p)::BIGINT n FROM (SELECT rid, unnest([pos, pos + 1, pos + 2, pos + 3, pos + 4]) p FROM twice) GROUP BY rid),
+facts AS (SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(word_chars, 0) word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT n_symbols, coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n, 0) n_repeat_words, coalesce(lost, 0) lost
+  FROM docs LEFT JOIN per USING (rid) LEFT JOIN repeat USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {_q.MIN_WORDS} OR 100 * n_repeat_words > {_q.MAX_REPEAT} * n_words) AS base_failed,
+  NOT (n_words < {_q.MIN_WORDS} OR 100 * n_repeat_words > {_q.MAX_REPEAT} * n_words) AND 100 * lost <= {_q.MAX_LOST} * word_chars AS kept FROM facts
+"""
