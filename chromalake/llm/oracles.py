@@ -98,3 +98,25 @@ facts AS (SELECT doc_id, coalesce(n_words, 0) n_words, coalesce(word_chars, 0) w
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {_q.MIN_WORDS} OR 100 * n_repeat_words > {_q.MAX_REPEAT} * n_words) AS base_failed,
   NOT (n_words < {_q.MIN_WORDS} OR 100 * n_repeat_words > {_q.MAX_REPEAT} * n_words) AND 100 * lost <= {_q.MAX_LOST} * word_chars AS kept FROM facts
 """
+
+# Brute force over all pairs: the searched queries miss a link with a documented small chance.
+_COMPONENTS = """
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id AS node, id AS root FROM ids UNION SELECT b, root FROM reach JOIN pairs ON node = a),
+comps AS (SELECT node, min(root) AS component_id FROM reach GROUP BY 1)"""
+
+ALL["op10_minhash_large_small_star"] = f"""
+WITH RECURSIVE ws AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) g FROM ws),
+n AS (SELECT doc_id, count(*)::BIGINT n FROM sh GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, count(*) i FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 80 * (p.n + q.n - i)),
+ids AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+SELECT doc_id, coalesce(n, 0)::BIGINT n_shingles, component_id, doc_id = component_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN comps ON node = doc_id
+"""
+
+ALL["op6_pivot_permutation"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings WHERE list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT p.vec_id a, q.vec_id b FROM v p JOIN v q ON p.vec_id < q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.9),
+ids AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id)::BIGINT n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comps ON node = vec_id
+"""
