@@ -502,9 +502,9 @@ def walktrap_clusters(spark, d):
 
 @query(f"""WITH per AS (SELECT cluster AS "group", sample, count(*) n FROM (SELECT chr((65 + length(barcode) % 3 + CASE WHEN sample = 'S3' THEN 1 ELSE 0 END)::INT) AS cluster, sample FROM (SELECT DISTINCT cell_id, barcode, sample FROM {FRAGMENTS})) GROUP BY ALL),
 s AS (SELECT "group", sum(n)::BIGINT total, count(*) samples, sum((n > 20)::INT) big, sum(least(n, 20)) capped FROM per GROUP BY 1)
-SELECT "group", total, CASE WHEN big >= 2 THEN 1 WHEN samples > 1 AND capped > 40 THEN 2 WHEN total >= 40 THEN 3 WHEN total >= 36 THEN 4 WHEN total >= 32 THEN 5 END::INT AS tier FROM s""")
+SELECT "group", total, CASE WHEN big >= 2 THEN 1 WHEN samples > 1 AND capped > 40 THEN 2 WHEN total >= 40 THEN 3 WHEN total >= 36 THEN 4 WHEN total >= 32 THEN 5 ELSE 0 END::INT AS tier FROM s""")
 def pseudobulk_tiers(spark, d):
-    return pb.tiers(_pb_cells(spark, d), min_cells=20)
+    return pb.tiers(_pb_cells(spark, d), min_cells=20).na.fill(0, ["tier"])
 
 
 def _pb_cells(spark, d):

@@ -15,7 +15,9 @@ def test_query_equals_sql(spark, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
 def test_other_queries_run(spark, data, name):
-    assert catalog.queries()[name](spark, data).count() > 0
+    # the smallest tables have too few cells for a replicate
+    d = data.replace("sf0.001", "sf0.01") if name == "pseudobulk_cells" else data
+    assert catalog.queries()[name](spark, d).count() > 0
 
 
 def test_entry_has_rows(spark):
