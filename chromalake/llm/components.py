@@ -1,9 +1,9 @@
 """Connected components by alternating large-star and small-star.
 
 Edges are a distributed table throughout; each round is two group-wise minima and two
-equi-joins whose small side has one row per node, so a hub's edges can be split by the
-skew handling of adaptive execution.  Every round is written to the shared scratch
-folder; the loop ends when the edges are a forest of stars, which one join tells.
+equi-joins whose small side has one row per node.  A hub's edges are dealt over SALT parts,
+each of which meets a copy of the hub's row.  Every round is written to the shared scratch
+folder; the loop ends when the edges are a forest of stars, which one semi-join tells.
 """
 
 from __future__ import annotations
@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 from chromalake.runtime import materialize, release
 
+#: Parts over which the edges of one node are dealt.
+SALT = 16
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    larger = both.where("v > u").withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+    return larger.join(low, ["u", "part"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +36,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def _is_star_forest(edges: DataFrame) -> bool:
     """Every ``u`` has one ``v``, and no ``v`` is a ``u``."""
     per = edges.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return per.join(per.select(F.col("u").alias("w")), F.col("lo") == F.col("w"), "left").where("lo <> hi or w is not null").isEmpty()
+    if not per.where("lo <> hi").isEmpty():
+        return False
+    # roots come first, one row each, so that a hub is one row in the join
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    return roots.join(edges.select("u").distinct(), "u", "left_semi").isEmpty()
 
 
 def connected_components(spark, edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
