@@ -6,8 +6,14 @@ large-star and small-star (see ``components``).
 
 Scale and skew.  Documents with equal sets collapse to one node (the smallest doc_id)
 before banding, so copies cost one row each.  A band bucket contributes a star around
-its smallest node, never all pairs.  Stars that pass the signature check are joined to
-families; full sets are compared within a family only.  A family of more than CHUNK
+its smallest node first.  Stars that pass the signature check are joined to families.  A
+bucket that also holds nodes unlike its smallest one is looked at again: what lies outside
+the bucket's largest family is compared by signature with the whole bucket, in blocks, so
+two nodes of a bucket are either of one family or were compared.  A bucket with more than
+BLOCK such nodes first meets BLOCK leaders, which ties its large groups together; the work
+that is left is linear in a bucket unless its members really differ, and then grows with
+their number squared (in comparisons; rows are copied once a block).  Full sets are
+compared within a family only.  A family of more than CHUNK
 documents is split into chunks, each of which also gets the family's CHUNK leaders, and
 whatever is then still apart from the family's largest component is compared with every
 chunk.  So the work of a large family is linear unless its members really differ, and no
@@ -23,6 +29,7 @@ result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +46,9 @@ MINIMA = BANDS * ROWS
 #: Stars below this estimated similarity are dropped before families are formed. A pair
 #: linked through a third text at 0.8 each has at least 0.6; the estimate's deviation is 0.04.
 STAR = 0.5
+#: Signatures of a mixed bucket compared at once, and how far below the asked similarity an
+#: estimate may lie there (five deviations).
+BLOCK, MARGIN = 512, 0.2
 #: Documents of a family compared at once, and their shingles.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 21
 _TILE = 1 << 13
@@ -201,6 +211,82 @@ def _link_batches(percent: int):
     return run
 
 
+def alike(sigs: np.ndarray, few: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j), i < few and i < j, of signatures that agree in ``least`` minima."""
+    i, j = [], []
+    for k in range(min(few, len(sigs) - 1)):
+        hit = np.flatnonzero(np.count_nonzero(sigs[k + 1 :] == sigs[k], axis=1) >= least)
+        i.append(np.full(len(hit), k))
+        j.append(hit + k + 1)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *i]), np.concatenate([none, *j])
+
+
+def _alike_batches(least: int):
+    """Rows (band, key, chunk, block, late, node, sig), sorted -> (u, v) edges of a spanning forest."""
+
+    def group(late: np.ndarray, nodes: np.ndarray, sigs: np.ndarray) -> list[tuple[int, int]]:
+        g = Groups(len(nodes))
+        i, j = alike(sigs, int((late == 0).sum()), least)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            g.join(x, y)
+        own = nodes.tolist()
+        return [(own[i], own[g.find(i)]) for i in range(len(own)) if g.find(i) != i]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+                new = [np.stack(cols[:4], 1), cols[4], cols[5], batch.column(6).flatten().to_numpy().reshape(-1, MINIMA)]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None:
+                continue
+            ends = (np.flatnonzero((held[0][1:] != held[0][:-1]).any(1)) + 1).tolist()
+            if batch is None:
+                ends.append(len(held[0]))
+            edges, at = [], 0
+            for end in ends:
+                edges += group(*[x[at:end] for x in held[1:]])
+                at = end
+            held = [x[at:] for x in held]  # the last group may go on in the next batch
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _regroup(spark, bands: DataFrame, sig: DataFrame, odd: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+    """Families, after the buckets in ``odd`` (band, key) were partitioned to the end."""
+    bucket = ["band", "key"]
+    mixed = materialize(spark, bands.join(odd, bucket), "minhash-buckets")
+    for lead in (True, False):
+        at = mixed.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        per = at.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
+        sized = per.groupBy(*bucket).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m")).select(
+            *bucket, F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
+        rows = at.join(sized.where("blocks > 1" if lead else "blocks > 0"), bucket).join(sig, "node")
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("chunks") - 1)
+        if lead:  # a row of chunk 0 leads: it is compared with every chunk of its bucket
+            dealt = rows.withColumn("chunk", F.explode(F.when(F.col("chunk") == 0, every).otherwise(F.array("chunk")))).withColumn("block", F.lit(0)).withColumn("late", F.lit(0))
+        else:  # what lies outside the largest family is compared with every chunk
+            block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
+            cell = lambda c, b, late: F.struct(c.alias("chunk"), b.alias("block"), F.lit(late).alias("late"))
+            few = F.when(F.col("component") != F.col("main"), F.transform(every, lambda c: cell(c, block, 0))).otherwise(F.array().cast("array<struct<chunk:int,block:int,late:int>>"))
+            many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(F.col("chunk"), b, 1))
+            dealt = rows.withColumn("_at", F.explode(F.concat(few, many))).select("*", "_at.block", "_at.late", F.col("_at.chunk").alias("_c")).drop("chunk").withColumnRenamed("_c", "chunk")
+        keys = [*bucket, "chunk", "block"]
+        parts = dealt.select(*keys, "late", "node", "sig").repartition(*keys).sortWithinPartitions(*keys, "late", "node")
+        more = materialize(spark, parts.mapInArrow(_alike_batches(least), "u long, v long").where("u <> v"), "minhash-mixed")
+        if not more.isEmpty():
+            comps = connected_components(spark, more.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), "minhash-family")
+    release(spark, mixed)
+    return comps
+
+
 def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Edges among the rows that share ``keys``; groups are bounded by the caller."""
     parts = rows.select(*keys, "node", "set").repartition(*keys).sortWithinPartitions(*keys, "node")
@@ -224,11 +310,20 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     stars = bands.join(heads, ["band", "key"]).where("node <> head").select("node", "head").distinct()
     same = F.aggregate(F.zip_with("sig", "sig_h", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sig = distinct.select("node", "sig")
-    checked = (
-        stars.join(sig, "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("sig_h")), "head")
-        .where(same >= int(STAR * MINIMA)).select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    # of a star that fails, the buckets that both ends share
+    both = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.slice("sig", j * ROWS + 1, F.lit(ROWS)) == F.slice("sig_h", j * ROWS + 1, F.lit(ROWS)))
+    judged = materialize(
+        spark,
+        stars.join(sig, "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("sig_h")), "head").withColumn("like", same >= int(STAR * MINIMA))
+        .select("node", "head", "like", F.when(~F.col("like"), F.transform(both, lambda j: F.struct(j.alias("band"), F.xxhash64(F.slice("sig", j * ROWS + 1, F.lit(ROWS))).alias("key")))).alias("odd")),
+        "minhash-stars",
     )
-    families = connected_components(spark, checked, "minhash-family")
+    families = connected_components(spark, judged.where("like").select(F.col("node").alias("u"), F.col("head").alias("v")), "minhash-family")
+    unlike = judged.where("not like")
+    if not unlike.isEmpty():
+        odd = unlike.select(F.explode("odd").alias("o")).select("o.band", "o.key").distinct()
+        families = _regroup(spark, bands, sig, odd, families, int(max(percent / 100 - MARGIN, 0) * MINIMA))
+    release(spark, judged)
 
     # Full sets of family members; the family's size decides into how many chunks it is cut.
     members = families.join(distinct.select("node", "n"), "node").select("node", F.col("component").alias("family"), "n")

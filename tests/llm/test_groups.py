@@ -82,6 +82,39 @@ def test_near_duplicates(spark, monkeypatch, width, chunk):
     assert all(n[i] == len(shingles(t, width)) for i, t in rows)
 
 
+def crowd(width, passages=40, seed=5, n=1500, pairs=80):
+    """Unlike texts of a few common passages, and pairs at about 0.83 among them with high ids."""
+    r = random.Random(seed)
+    pool = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(passages)]
+    rows = [(i, " ".join([*r.sample(pool, 12), *(f"u{i}x{j}" for j in range(60))])) for i in range(n)]
+    for k in range(pairs):
+        common = [*r.sample(pool, 12), " ".join(f"v{k}x{j}" for j in range(60 - width))]
+        rows += [(n + 2 * k + side, " ".join([*common, *(f"s{side}k{k}x{j}" for j in range(20))])) for side in (0, 1)]
+    return rows
+
+
+def met_pairs(d, rows, width, bands, n=1500):
+    """(second copy -> first) of the linked pairs that share a bucket, and those of them that only meet beside an unlike smaller text."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    sig = {r["doc_id"]: tuple(r["sig"]) for r in d.select("doc_id", "text").mapInArrow(minhash._sign_batches(width), "doc_id long, n_shingles long, d0 long, d1 long, sig array<int>").collect()}
+    row = [{i: x[k * 5 : k * 5 + 5] for i, x in sig.items()} for k in range(bands)]
+    first = [{x[i] for i in range(n)} for x in row]
+    want = {b: b - 1 for b in range(n + 1, len(rows), 2) if 100 * len(sets[b] & sets[b - 1]) >= 80 * len(sets[b] | sets[b - 1]) and any(x[b] == x[b - 1] for x in row)}
+    return want, [b for b in want if all(x[b] != x[b - 1] or x[b] in f for x, f in zip(row, first, strict=True))]
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_unlike_documents_hide_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)  # small blocks send buckets through the leaders
+    monkeypatch.setattr(minhash, "BANDS", 2)  # so that a pair often has one common bucket only
+    rows = crowd(2)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want, hidden = met_pairs(d, rows, 2, 2)
+    assert hidden
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, d, 2).collect()}
+    assert {i: c for i, c in got.items() if i != c} == want
+
+
 def test_near_duplicate_edges(spark):
     none = minhash.near_duplicates(spark, spark.createDataFrame([], "doc_id long, text string"))
     assert none.count() == 0
