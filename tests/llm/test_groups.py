@@ -210,3 +210,16 @@ def test_pipeline_keeps_and_drops(spark):
     packed = cp.STAGES[-1][1](spark, d, DATA)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == c
     assert cp.run(spark, DATA).count() == packed.count()
+
+
+def test_near_duplicate_stage_among_common_passages(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(minhash, "BANDS", 2)
+    rows = crowd(5, passages=16)
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    want, hidden = met_pairs(d, rows, 5, 2)
+    assert hidden
+    left = cp.near_duplicate_stage(spark, d, "")
+    assert left.columns == d.columns
+    assert {i for i, _ in rows} - {r["doc_id"] for r in left.select("doc_id").collect()} == set(want)
