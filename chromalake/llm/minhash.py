@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
-from chromalake.llm.components import connected_components
+from chromalake.llm.components import connected_components, hub_size, join_counted, merge_components
 from chromalake.runtime import materialize, release, ship_package
 
 BANDS, ROWS = 28, 5  # a pair at similarity 0.8 is missed once in 67,000
@@ -126,7 +126,7 @@ def _set_batches(width: int):
             for i, j, buf, off in tk.slices(batch.column(1)):
                 sets, bounds, _ = tk.shingle_sets(buf, off, width)
                 rest = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns) if k != 1]
-                yield pa.RecordBatch.from_arrays([*rest, tk.binary_column(sets, bounds)], ["node", "family", "members", "chunks", "set"])
+                yield pa.RecordBatch.from_arrays([*rest, tk.binary_column(sets, bounds)], ["node", "family", "chunks", "set"])
 
     return run
 
@@ -258,31 +258,34 @@ def _alike_batches(least: int):
     return run
 
 
-def _regroup(spark, bands: DataFrame, sig: DataFrame, odd: DataFrame, comps: DataFrame, least: int) -> DataFrame:
+def _regroup(spark, bands: DataFrame, heads: DataFrame, sig: DataFrame, odd: DataFrame, comps: DataFrame, least: int, rows: int) -> DataFrame:
     """Families, after the buckets in ``odd`` (band, key) were partitioned to the end."""
     bucket = ["band", "key"]
-    mixed = materialize(spark, bands.join(odd, bucket), "minhash-buckets")
+    counted = odd.join(heads.select(*bucket, "n"), bucket)
+    hub = hub_size(rows)
+    mixed = materialize(spark, join_counted(bands, counted, bucket, "node", hub), "minhash-buckets")
     for lead in (True, False):
         at = mixed.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
         per = at.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
         sized = per.groupBy(*bucket).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m")).select(
-            *bucket, F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
-        rows = at.join(sized.where("blocks > 1" if lead else "blocks > 0"), bucket).join(sig, "node")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+            *bucket, F.col("all").alias("n"), F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
+        dealt = join_counted(at, sized.where("blocks > 1" if lead else "blocks > 0"), bucket, "node", hub).join(sig, "node")
+        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         every = F.sequence(F.lit(0), F.col("chunks") - 1)
         if lead:  # a row of chunk 0 leads: it is compared with every chunk of its bucket
-            dealt = rows.withColumn("chunk", F.explode(F.when(F.col("chunk") == 0, every).otherwise(F.array("chunk")))).withColumn("block", F.lit(0)).withColumn("late", F.lit(0))
+            dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("chunk") == 0, every).otherwise(F.array("chunk")))).withColumn("block", F.lit(0)).withColumn("late", F.lit(0))
         else:  # what lies outside the largest family is compared with every chunk
             block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
             cell = lambda c, b, late: F.struct(c.alias("chunk"), b.alias("block"), F.lit(late).alias("late"))
             few = F.when(F.col("component") != F.col("main"), F.transform(every, lambda c: cell(c, block, 0))).otherwise(F.array().cast("array<struct<chunk:int,block:int,late:int>>"))
             many = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: cell(F.col("chunk"), b, 1))
-            dealt = rows.withColumn("_at", F.explode(F.concat(few, many))).select("*", "_at.block", "_at.late", F.col("_at.chunk").alias("_c")).drop("chunk").withColumnRenamed("_c", "chunk")
+            dealt = dealt.withColumn("_at", F.explode(F.concat(few, many))).select("*", "_at.block", "_at.late", F.col("_at.chunk").alias("_c")).drop("chunk").withColumnRenamed("_c", "chunk")
         keys = [*bucket, "chunk", "block"]
         parts = dealt.select(*keys, "late", "node", "sig").repartition(*keys).sortWithinPartitions(*keys, "late", "node")
         more = materialize(spark, parts.mapInArrow(_alike_batches(least), "u long, v long").where("u <> v"), "minhash-mixed")
         if not more.isEmpty():
-            comps = connected_components(spark, more.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), "minhash-family")
+            comps = merge_components(spark, comps, more, "minhash-family")
+        release(spark, more)
     release(spark, mixed)
     return comps
 
@@ -306,8 +309,9 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
         "minhash-distinct",
     )
     bands = distinct.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(F.slice("sig", j * ROWS + 1, F.lit(ROWS))))).alias("band", "key"))
-    heads = bands.groupBy("band", "key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").drop("last")
-    stars = bands.join(heads, ["band", "key"]).where("node <> head").select("node", "head").distinct()
+    nodes = distinct.count()
+    heads = bands.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = join_counted(bands, heads, ["band", "key"], "node", hub_size(BANDS * nodes)).where("node <> head").select("node", "head").distinct()
     same = F.aggregate(F.zip_with("sig", "sig_h", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     sig = distinct.select("node", "sig")
     # of a star that fails, the buckets that both ends share
@@ -322,16 +326,17 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     unlike = judged.where("not like")
     if not unlike.isEmpty():
         odd = unlike.select(F.explode("odd").alias("o")).select("o.band", "o.key").distinct()
-        families = _regroup(spark, bands, sig, odd, families, int(max(percent / 100 - MARGIN, 0) * MINIMA))
+        families = _regroup(spark, bands, heads, sig, odd, families, int(max(percent / 100 - MARGIN, 0) * MINIMA), BANDS * nodes)
     release(spark, judged)
 
     # Full sets of family members; the family's size decides into how many chunks it is cut.
     members = families.join(distinct.select("node", "n"), "node").select("node", F.col("component").alias("family"), "n")
-    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("_t")).select(
-        "family", "members", F.ceil(F.greatest(F.col("members") / CHUNK, F.col("_t") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    wanted = members.join(sized, "family").select("node", "family", "members", "chunks")
-    texts = base.join(wanted, base["doc_id"] == wanted["node"]).select("node", "text", "family", "members", "chunks")
-    sets = materialize(spark, texts.mapInArrow(_set_batches(width), "node long, family long, members long, chunks int, set binary"), "minhash-sets").where(F.length("set") > 0)
+    sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("_t")).select(
+        "family", "n", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("_t") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    wanted = join_counted(members.select("node", "family"), sized, ["family"], "node", hub_size(families.count()))
+    texts = base.join(wanted, base["doc_id"] == wanted["node"]).select("node", "text", "family", "chunks")
+    written = materialize(spark, texts.mapInArrow(_set_batches(width), "node long, family long, chunks int, set binary"), "minhash-sets")
+    sets = written.where(F.length("set") > 0)
 
     order = F.xxhash64("node")
     sets = sets.withColumn("chunk", F.pmod(order, F.col("chunks")).cast("int"))
@@ -340,16 +345,20 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     confirmed = _confirm(placed, ["family", "chunk"], percent)
     comps = connected_components(spark, confirmed, "minhash-component")
     if not sets.where("chunks > 1").isEmpty():
-        more = materialize(spark, _residual_links(sets, comps, percent), "minhash-residual")
+        more = materialize(spark, _residual_links(sets, comps, percent, written.count()), "minhash-residual")
         if not more.isEmpty():
-            comps = connected_components(spark, more.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), "minhash-component")
+            comps = merge_components(spark, comps, more, "minhash-component")
+        release(spark, more)
 
     # Rows that share an id join its component; sets lead to nodes, nodes to components.
     shared = distinct.select("d0", "d1", "node").join(comps, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "d0", "d1").join(shared, ["d0", "d1"], "left")
+    # empty sets have no d0 and meet nothing; their own ids spread them over the tasks
+    out = signed.select("doc_id", "n_shingles", "d0", F.coalesce("d1", "doc_id").alias("d1")).join(shared, ["d0", "d1"], "left")
     out = _merge_shared_ids(spark, out, signed)
-    release(spark, families)
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    result = materialize(spark, out.select("doc_id", "n_shingles", "component_id", kept.alias("kept")), "minhash-result")
+    release(spark, signed, distinct, families, written, comps)
+    return result
 
 
 def _merge_shared_ids(spark, rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -365,13 +374,13 @@ def _merge_shared_ids(spark, rows: DataFrame, signed: DataFrame) -> DataFrame:
     return rows.join(merged, "component_id", "left").withColumn("component_id", F.coalesce("_to", "component_id")).drop("_to")
 
 
-def _residual_links(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _residual_links(sets: DataFrame, comps: DataFrame, percent: int, rows: int) -> DataFrame:
     """Links of split families between what lies outside the largest component and every chunk."""
     split = sets.where("chunks > 1")
     at = split.select("node", "family", "chunks").distinct().join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = at.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rest = at.join(main, "family").where("component <> main").select("node", "family")
+    main = per.groupBy("family").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    rest = join_counted(at, main, ["family"], "node", hub_size(rows)).where("component <> main").select("node", "family")
     counts = rest.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
     left = split.join(rest.select("node"), "node", "left_semi").join(counts, "family")
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
