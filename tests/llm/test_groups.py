@@ -159,6 +159,44 @@ def test_vectors(spark, monkeypatch):
     assert pivots.near_vectors(spark, d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("count", "least"), [(640, 0.97), (4096, 0.95)])
+def test_recall_at_the_border(count, least):
+    """Pairs at a cosine of 0.9 among random vectors, where recall is lowest."""
+    r = np.random.default_rng(3)
+    a = pivots.unit(r.normal(size=(600, 64)))
+    b = r.normal(size=a.shape)
+    b = pivots.unit(b - (b * a).sum(1)[:, None] * a)
+    b = 0.9000001 * a + np.sqrt(1 - 0.9000001**2) * b
+    ref = pivots.unit(r.normal(size=(count, 64)))
+    p, q = pivots.describe(a, ref), pivots.describe(b, ref)
+    met = (pivots.list_keys(p)[:, :, None] == pivots.list_keys(q)[:, None, :]).any((1, 2))
+    met &= (p[:, :, None] == q[:, None, :]).any(2).sum(1) >= pivots.SHARED
+    assert met.mean() >= least
+
+
+@pytest.mark.parametrize("cross", [False, True])
+def test_lists_count_every_pair_once(cross):
+    r = np.random.default_rng(5)
+    ref = pivots.unit(r.normal(size=(64, 8)))
+    vec = np.concatenate([r.normal(size=8) + 0.1 * r.normal(size=(12, 8)) for _ in range(10)])
+    prefix, block = pivots.describe(vec, ref), r.integers(0, 2, len(vec))
+    keys = pivots.list_keys(prefix)
+    got = {True: [], False: []}
+    for key in np.unique(keys):
+        at = np.flatnonzero((keys == key).any(1))
+        where = np.tile([key, 0, int(cross)], (len(at), 1))
+        for kind in (True, False):
+            if kind:
+                i, j = pivots.long_links(vec[at], prefix[at], block[at], int(key), cross, 0.9)
+            else:
+                i, j = pivots.short_links(vec[at], prefix[at], block[at], where, np.full(len(at), len(at)), 0.9)
+            got[kind] += list(zip(at[i].tolist(), at[j].tolist(), strict=True))
+    u = pivots.unit(vec)
+    want = {(i, j) for i, j in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()
+            if len(set(prefix[i]) & set(prefix[j])) >= pivots.SHARED and set(keys[i]) & set(keys[j]) and (not cross or block[i] != block[j])}
+    assert want and sorted(got[True]) == sorted(want) == sorted(x for x in got[False])
+
+
 def test_archives(spark, tmp_path):
     body = "<html>" + "x" * 200
     rows = [(4, "http://a", body), (2, "http://b", body), (9, "http://c\r\nX: 1", body), (5, None, None), (6, "http://d", ""), (7, "u", "short"), (8, "u", "short"), (10, "é", "é" * 60 + "\r\n\r\nWARC/1.1"), (11, "", "é" * 60 + "\r\n\r\nWARC/1.1"), (None, "n", body)]
