@@ -2,12 +2,14 @@
 
 A text, and each of its lines, is brought into a canonical form: characters beyond ASCII
 and punctuation become spaces, A-Z are lower-cased, lines that begin with a copyright
-notice are left out, equivalent spellings become one, and runs of spaces shrink.  SHA-256
+notice or only reserve all rights are left out, equivalent spellings become one, and runs of spaces shrink.  SHA-256
 digests of the canonical forms are hash-joined to the digests of known license texts and
 notices.  Every text and every line is looked up whole.
 
 The table of known licenses is a parameter of a few dozen rows, so its broadcast is
-bounded.  Edge cases: a null, empty or punctuation-only text has no digest and no license;
+bounded.  Short licenses and notices are given as texts (KNOWN), with and without their
+titles; long ones as digests of their canonical forms (KNOWN_DIGESTS).  A license that stands
+wrapped over several lines within a longer text is not looked up, only its one-line notices are.  Edge cases: a null, empty or punctuation-only text has no digest and no license;
 lines of any length are digested whole; repeated rows are scanned row by row (rows are told
 apart by a row number within the scan); an empty table gives an empty result; other columns
 are ignored.
@@ -61,32 +63,60 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+#: The same texts with the title that they often have, or without.
+_TITLES = (("MIT", "The MIT License (MIT)"), ("MIT", ""), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "The BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-3-Clause", "The BSD 3-Clause License"), ("ISC", "ISC License"), ("ISC", "The ISC License"), ("0BSD", "BSD Zero Clause License"), ("0BSD", "Zero-Clause BSD"))
+_WHOLE = {k: v.removeprefix("MIT License\n") for k, v in reversed(KNOWN) if v.startswith(("MIT License\n", _BSD, _ISC))}
+KNOWN += tuple((k, f"{title}\n{_WHOLE[k]}") for k, title in _TITLES)
+
+#: SHA-256 of the canonical forms of the full texts, as their publishers issue them.
+KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100"),
+    ("Artistic-1.0-Perl", "f7fec2048e2502b8b653a12ac095bcb0601f72bbd1d535b2e8adf8e097d2f915"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "0c3e4ca5ed7ced6289d3f5d9a83e4100f9f34d87983b17dc5865376a8a0a98f3"),
+    ("GFDL-1.2", "f06741c6c5feec30d99f80228f0d9ea6b884eae0e790ab18a0f4257184befa86"),
+    ("GFDL-1.3", "80229e90e6f40a551a447f33ef48bd361a8e3166d53f29a2d1537245e2064feb"),
+    ("GPL-1.0", "80188d2eb86384574b90534ba98aa2e4373d868aeb5f6323b35189e4b2b5d318"),
+    ("GPL-2.0", "b0e391cf95f80a18c93d6be3a9e78f668e4f98021ab771244b810fe2e61126fa"),
+    ("GPL-3.0", "e2653cfab3de7b68d542115995575c6e3e9af611375084fc72771e6bab5d1612"),
+    ("LGPL-2.0", "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
+    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "7f53215bc7aa8409bdaa0f38be95d4f00c3ae9f4c2bb9ae3a85c9c4f6fdd1815"),
+    ("MPL-2.0", "de0e0bad5657ae87b52462bd6dcfbfa29b0e1c9cdb1af2703a8760bce580dd61"),
+)
+
+
 def canonical_line(line: Column) -> Column:
     """Canonical form of a line; empty for a copyright line."""
     x = F.lower(F.regexp_replace(F.regexp_replace(line, r"\([cC]\)", " "), "[^a-zA-Z0-9]+", " "))
     x = F.concat(F.lit(" "), F.trim(x), F.lit(" "))
-    notice = x.startswith(" copyright ") | x.startswith(" copr ") | line.rlike(r"^[^a-zA-Z0-9(]*(\([cC]\)|\u00a9)")
+    notice = (x == " all rights reserved ") | x.startswith(" copyright ") | x.startswith(" copr ") | line.rlike(r"^[^a-zA-Z0-9(]*(\([cC]\)|\u00a9)")
     x = F.when(notice, F.lit("  ")).otherwise(x)
     for other, one in SPELLINGS:
         x = F.replace(x, F.lit(f" {other} "), F.lit(f" {one} "))
     return F.trim(x)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
+def known_digests(spark, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """(digest, license): one row per canonical form; the smallest id wins a tie."""
     rows = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(v).alias("body")) for k, v in known])
     table = spark.range(1).select(F.explode(rows).alias("k")).select("k.license", "k.body")
     lines = F.transform(F.split("body", "\n"), canonical_line)
-    return table.select(F.sha2(F.array_join(F.filter(lines, lambda x: x != ""), " "), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    table = table.select(F.sha2(F.array_join(F.filter(lines, lambda x: x != ""), " "), 256).alias("digest"), "license")
+    if digests:
+        fixed = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(k).alias("license")) for k, d in digests])
+        table = table.unionByName(spark.range(1).select(F.explode(fixed).alias("k")).select("k.digest", "k.license"))
+    return table.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_digest, text_license, n_license_lines, line_licenses) of every row.
 
     ``line_licenses`` are the sorted distinct ids found on whole lines, comma-joined.
     """
     spark = docs.sparkSession
-    table = known_digests(spark, known)
+    table = known_digests(spark, known, digests)
     base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), F.transform(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n"), canonical_line).alias("_lines"))
     base = base.withColumn("_lines", F.filter("_lines", lambda x: x != ""))
     whole = F.when(F.size("_lines") > 0, F.sha2(F.array_join("_lines", " "), 256))

@@ -11,7 +11,8 @@ order of rows matter.  Slots within a shard are gapless from 0 without sorting a
 in one task: rows are ranked within (shard, hash bucket) and buckets get prefix sums.
 
 Edge cases: a null key is a key of its own (drawn as the empty string); a null text
-has no bytes (size 1, CRC 0); repeated rows each get a slot of their own, equal rows
+has no bytes (size 1, CRC 0); a text of any length is one row, hashed whole; of equal
+draws the child listed first wins; repeated rows each get a slot of their own, equal rows
 being interchangeable; an empty table gives an empty result; columns other than key and
 text are ignored.
 """

@@ -1,5 +1,7 @@
 """License scans, URL filters and sharding: edge cases, brute force, and SQL on whole tables."""
 
+import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -36,6 +38,10 @@ def test_licenses(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[10]["text_license"] == "MIT" and by[13]["text_license"] is None
     assert (by[11]["n_license_lines"], by[11]["line_licenses"]) == (2, "CC-BY-NC-4.0,MIT")
+    assert not {d for _, d in licenses.KNOWN_DIGESTS} & {r["digest"] for r in licenses.known_digests(spark, digests=()).collect()}
+    bsd = next(b for k, b in licenses.KNOWN if k == "BSD-3-Clause")
+    framed = licenses.scan_licenses(docs(spark, [(1, f"BSD 3-Clause Licence\n\nCopyright 2001, X.\nAll rights reserved.\n\n{bsd}"), (2, mit.removeprefix("MIT License\n"))])).collect()
+    assert {r["doc_id"]: r["text_license"] for r in framed} == {1: "BSD-3-Clause", 2: "MIT"}
     assert by[1]["text_digest"] is None and by[12]["text_digest"] is None and by[6]["n_license_lines"] == 0
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
@@ -94,6 +100,29 @@ def test_shards(spark):
     assert sharding.shard_rows(docs(spark, []), root).count() == 0
 
 
+def test_draws_by_brute_force(spark):
+    """Every shard from the draws themselves, by walking the tree in Python."""
+    def walk(key, node):
+        while node.children:
+            if len(node.children) == 1:
+                node = node.children[0]
+                continue
+            draws = []
+            for c in node.children:
+                u = (int(hashlib.md5(f"{key}:{c.name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                draws.append(-math.log(u) / c.total)
+            node = node.children[draws.index(min(draws))]
+        return node.shard
+
+    root = sharding.tree(16, weights={3: 2.5, 9: 0.5})
+    grown = sharding.grow(root)
+    out = sharding.shard_rows(docs(spark, [(i, "x" * 3) for i in range(2000)] + [(None, "n")], False), root, grown).collect()
+    assert len(out) == 2001
+    for r in out:
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (walk(key, root), walk(key, grown))
+
+
 def test_weights_confine_movement(spark):
     ids = docs(spark, [(i, "") for i in range(3000)], False)
     a, b = sharding.tree(16), sharding.tree(16, weights={5: 3.0})
