@@ -1,6 +1,6 @@
 """DuckDB SQL that restates queries of this subpackage."""
 
-from chromalake.llm.licenses import KNOWN, SPELLINGS
+from chromalake.llm.licenses import KNOWN, KNOWN_DIGESTS, SPELLINGS
 
 ALL: dict[str, str] = {}
 
@@ -8,7 +8,7 @@ ALL: dict[str, str] = {}
 def _canonical(x: str) -> str:
     out = f"' ' || trim(lower(regexp_replace(regexp_replace({x}, '\\([cC]\\)', ' ', 'g'), '[^a-zA-Z0-9]+', ' ', 'g'))) || ' '"
     notice = f"regexp_matches({x}, '^[^a-zA-Z0-9(]*(\\([cC]\\)|\u00a9)')"
-    out = f"CASE WHEN starts_with({out}, ' copyright ') OR starts_with({out}, ' copr ') OR {notice} THEN '  ' ELSE {out} END"
+    out = f"CASE WHEN {out} = ' all rights reserved ' OR starts_with({out}, ' copyright ') OR starts_with({out}, ' copr ') OR {notice} THEN '  ' ELSE {out} END"
     for other, one in SPELLINGS:
         out = f"replace({out}, ' {other} ', ' {one} ')"
     return f"trim({out})"
@@ -19,8 +19,10 @@ def _lines(x: str) -> str:
 
 
 _QUOTED = ", ".join("('{}', '{}')".format(k, v.replace("'", "''").replace("\n", "' || chr(10) || '")) for k, v in KNOWN)
+_FIXED = ", ".join(f"('{k}', '{d}')" for k, d in KNOWN_DIGESTS)
 ALL["op1_license_digests"] = f"""
-WITH known AS (SELECT sha256(array_to_string({_lines('body')}, ' ')) digest, min(license) license FROM (VALUES {_QUOTED}) t(license, body) GROUP BY 1),
+WITH forms AS (SELECT sha256(array_to_string({_lines('body')}, ' ')) digest, license FROM (VALUES {_QUOTED}) t(license, body) UNION ALL SELECT digest, license FROM (VALUES {_FIXED}) f(license, digest)),
+known AS (SELECT digest, min(license) license FROM forms GROUP BY 1),
 docs AS (SELECT row_number() OVER () rid, doc_id, {_lines("coalesce(text, '')")} ls FROM documents),
 found AS (SELECT rid, count(*) n, string_agg(DISTINCT license, ',' ORDER BY license) l FROM (SELECT rid, unnest(ls) line FROM docs) JOIN known ON digest = sha256(line) GROUP BY rid)
 SELECT doc_id, CASE WHEN len(ls) > 0 THEN sha256(array_to_string(ls, ' ')) END text_digest, known.license text_license,
@@ -77,7 +79,7 @@ FROM p LEFT JOIN heads USING (payload_digest)
 from chromalake.llm import quality_rules as _q  # noqa: E402
 
 _LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_PHRASE = " OR ".join(f"contains({_LOW}, '{p}')" for p in _q.PHRASES)
+_HOLDS = lambda some: " OR ".join(f"contains({_LOW}, '{p}')" for p in some)
 ALL["op4_line_first_rules"] = f"""
 WITH docs AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (SELECT rid, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) ln FROM docs),
@@ -87,7 +89,7 @@ live AS (SELECT rid, ln, line, ws, len(ws) nw, list_sum(list_transform(ws, lambd
     list_sum(list_transform(ws, lambda w: (regexp_full_match(w, '[|/~>-]+') OR w IN ('•', '·', '»', '›', '«', '‹'))::INT)) seps,
     list_sum(list_transform(ws, lambda w: (regexp_matches(w, '[#*$%&|<>]'))::INT)) syms FROM lines WHERE len(ws) > 0),
 judged AS (SELECT *, (NOT regexp_matches(ws[-1], '([.!?:;,"'')\\]}}]|[^\\x00-\\x7F])$') AND nw < {_q.SHORT}) OR 100 * doubled >= {_q.DOUBLED} * nw
-    OR 100 * seps >= {_q.SEPARATORS} * nw OR 100 * syms > {_q.SYMBOLS} * nw OR (nw <= {_q.LONG} AND ({_PHRASE})) AS failed FROM live),
+    OR 100 * seps >= {_q.SEPARATORS} * nw OR 100 * syms > {_q.SYMBOLS} * nw OR (nw <= {_q.LONG} AND ({_HOLDS(_q.PHRASES)})) OR (nw <= {_q.BRIEF} AND ({_HOLDS(_q.MARKS)})) AS failed FROM live),
 per AS (SELECT rid, sum(nw)::BIGINT n_words, sum(chars)::BIGINT word_chars, sum(chars) FILTER (failed) lost, (count(*) - count(DISTINCT line))::BIGINT n_dup_lines FROM judged GROUP BY rid),
 words AS (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY ln, k) pos FROM (SELECT rid, ln, unnest(ws) w, generate_subscripts(ws, 1) k FROM live)),
 grams AS (SELECT rid, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM words WINDOW o AS (PARTITION BY rid ORDER BY pos)),

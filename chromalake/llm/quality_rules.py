@@ -10,7 +10,8 @@ outside ``\\x20 \\x09-\\x0D``.  A line fails if
 * navigation: at least SEPARATORS percent of its words are only separators
   (``| / - ~ >`` or a bullet, guillemet or middle dot);
 * symbols: more than SYMBOLS percent of its words hold one of ``#*$%&|<>``;
-* boilerplate: it has at most LONG words and holds one of PHRASES (A-Z lower-cased).
+* boilerplate: it has at most LONG words and holds one of PHRASES (English, German, French,
+  Spanish; A-Z lower-cased), or at most BRIEF words and one of MARKS, in any language.
 
 Base rules come first: fewer than MIN_WORDS words, or more than MAX_REPEAT percent of the
 words in five-word windows that occur twice or more, reject a document outright.
@@ -39,7 +40,13 @@ END_MARKS = ".!?:;,\"')]}"  # and any byte of a multi-byte character
 PHRASES = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "enable javascript",
     "sign in", "log in", "subscribe to our", "click here", "skip to content", "back to top", "lorem ipsum", "powered by",
+    "alle rechte vorbehalten", "datenschutzerkl", "hier klicken", "nach oben", "jetzt anmelden", "newsletter abonnieren",
+    "tous droits r", "politique de confidentialit", "mentions l\u00e9gales", "cliquez ici", "retour en haut", "se connecter", "abonnez-vous",
+    "todos los derechos reservados", "pol\u00edtica de privacidad", "aviso legal", "haga clic", "volver arriba", "iniciar sesi\u00f3n", "suscr\u00edbete",
 )
+#: Marks of addresses and notices in any language; a short line that holds one is boilerplate.
+MARKS = ("http://", "https://", "www.", "\u00a9")
+BRIEF = 6
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -134,14 +141,15 @@ def facts(buf: np.ndarray, off: np.ndarray) -> Facts:
     failed = (~_END[last_byte] & (nw < SHORT)) | (100 * per_line(doubled) >= DOUBLED * nw)
     failed |= (100 * per_line(separator) >= SEPARATORS * nw) | (100 * per_line(symbolic) > SYMBOLS * nw)
     low = tk.LOWER[buf].tobytes()
-    hit = np.zeros(len(starts), bool)
-    for phrase in PHRASES:
-        p, k = phrase.encode(), -1
-        while (k := low.find(p, k + 1)) >= 0:
-            line = int(np.searchsorted(starts, k, side="right")) - 1
-            if k + len(p) <= ends[line]:
-                hit[line] = True
-    failed |= hit & (nw <= LONG)
+    for phrases, most in ((PHRASES, LONG), (MARKS, BRIEF)):
+        hit = np.zeros(len(starts), bool)
+        for phrase in phrases:
+            p, k = phrase.encode(), -1
+            while (k := low.find(p, k + 1)) >= 0:
+                line = int(np.searchsorted(starts, k, side="right")) - 1
+                if k + len(p) <= ends[line]:
+                    hit[line] = True
+        failed |= hit & (nw <= most)
     failed &= has
     line_chars = per_line(chars)
     lost = np.bincount(line_doc, weights=np.where(failed, line_chars, 0), minlength=n).astype(np.int64)
