@@ -21,7 +21,8 @@ link between different texts of a family is lost.
 
 Edge cases: a null text, or one without words, has an empty set (n_shingles 0) and is
 linked with nothing; a text with fewer words than the shingle width has its whole word
-sequence as its only shingle; a row with a null id is counted and kept but linked with
+sequence as its only shingle; a very long text is signed whole, its set being held in one
+task at a time; a row with a null id is counted and kept but linked with
 nothing (component null); rows that share an id are one document with several texts, so
 their links are joined; repeated rows are all returned; an empty table gives an empty
 result; columns other than id and text are ignored.
@@ -391,16 +392,20 @@ def _residual_links(sets: DataFrame, comps: DataFrame, percent: int, rows: int)
 
 
 def keep_one(spark, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, all columns; rows that repeat an id become one row.
+    """One document of each component, all columns; of rows that repeat an id the smallest text stays.
 
-    Documents without an id are linked with nothing and stay.
+    Documents without an id are linked with nothing and stay.  Equal texts of one id are told
+    apart by a hash of the whole row.
     """
     gone = near_duplicates(spark, docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
-    if docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).count().where("count > 1").isEmpty():
+    twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice")
+    if twice.isEmpty():
         return out
-    named = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(out.where(F.col(doc_id).isNull()))
+    several = out.join(twice, out[doc_id] == twice["_twice"], "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    first = several.groupBy(F.col(doc_id).alias("_id")).agg(F.min_by(whole, F.struct(F.coalesce(F.col(text), F.lit("")), F.xxhash64(*docs.columns))).alias("_row")).select("_row.*")
+    return out.join(twice, out[doc_id] == twice["_twice"], "left_anti").unionByName(first)
 
 
 def op10_minhash_large_small_star(spark, sf_dir: str) -> DataFrame:

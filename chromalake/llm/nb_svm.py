@@ -13,7 +13,10 @@ features of two bytes, so what reaches the driver is bounded; the model is DIM n
 
 Edge cases: null and empty texts have no features and get the score of the bias; a label
 that is null or whose document is missing is ignored; with several labels for an id the
-smallest counts; with labels of one class only every score is the share of label 1 (0.5
+smallest counts; an id with several texts is learned from the text of the smallest hash;
+very long texts are scored and learned whole (a text has at most DIM features); n-grams whose
+hashes are equal are one feature; columns other than id and text are ignored, whatever their
+names; with labels of one class only every score is the share of label 1 (0.5
 without labels); repeated rows are scored row by row; an empty table gives an empty result.
 """
 
@@ -191,11 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
     )
     # max_train ids at most: the broadcast is bounded
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("y", "text", "_id")
-    one = rows.select("y", "text").mapInArrow(_feature_batches, "y int, x binary").toArrow()
+    # one text an id, that of the smallest hash, so that repeated ids cannot lengthen what is collected
+    text_of = F.min(F.struct(F.xxhash64("text"), F.col("text"))).alias("t")
+    one = rows.groupBy("_id", "y").agg(text_of).select("y", "t.text").mapInArrow(_feature_batches, "y int, x binary").toArrow()
     y = one["y"].to_numpy().astype(int)
     x = [np.frombuffer(v, np.uint16) for v in one["x"].to_pylist()]
     order = sorted(range(len(x)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))  # the fit does not depend on task order
-    order = order[: 2 * max_train]
     return fit([x[i] for i in order], y[order] if len(order) else y)
 
 

@@ -1,24 +1,32 @@
 """WARC archives as a Spark data source written in Python.
 
-Reading.  One partition per archive file; files are listed on the driver.  Equality filters
-on the record type, record id, target URI and page id are pushed into the reader, which
-parses a record's headers first and neither decompresses further than needed into objects
-nor decodes the payload of a record that a filter rejects or of any record when the option
-``payload`` is ``false``.  Every record is a gzip member of its own.
+Reading.  One partition per archive file; files are listed on the driver.  A path is a folder
+or one file.  Comparisons of a column that comes from a header (PUSHED, the date's ranges,
+and the headers that the option ``headers`` names) are pushed into the reader, which parses a
+record's headers first and neither decompresses further than needed into objects nor decodes
+the payload of a record that a filter rejects, or of any record when the option ``payload``
+is ``false`` or the column is not asked for.  Archives may be plain or gzip of any number of
+members, by this module or by others: of records without ``X-Page-Id`` the page id is null.
+The payload of an ``application/http`` block is what follows its header, any other block is
+the payload; a revisit has none.
 
 Writing.  Each task writes one file under a name of its own attempt, and the driver's commit
-names the files that count in ``_MANIFEST.json``; a repeated or lost task leaves at most a
-file that no reader opens.  Paths are URIs of any file system that pyarrow knows.
+names the files that count in a manifest of the job (``_MANIFEST-<id>.json``); a repeated or
+lost task leaves at most a file that no reader opens.  A folder's records are those of all
+its manifests, so appending adds to them; overwriting removes the manifests, then the files,
+that were there.  A folder without a manifest is read file by file (``*.warc``, ``*.warc.gz``).
+Paths are URIs of any file system that pyarrow knows.
 
 Deduplication.  Of records with equal payloads of at least ``least`` bytes the one with the
 smallest page id is a response, the others are revisits that name it and carry no payload
-but its length and digest.
+but its length and digest.  Rows of a digest that very many rows share get their response
+from a broadcast table of a bounded number of such digests, so no task meets all of them.
 
 Edge cases: a null payload is empty; a null page id is written as an empty header and read
 back as null, and sorts after every other id when the response of a group is chosen; rows
 that share the smallest id are all responses; payloads below ``least`` bytes are all
-responses; an empty table gives archives without records; columns other than id, URL and
-payload are ignored.
+responses; a payload is held whole, as a cell of a row is; an empty table gives archives
+without records; columns other than id, URL and payload are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +40,30 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 
+from chromalake.llm.components import hub_size
 from chromalake.runtime import scratch_path, ship_package
 
 SCHEMA = (
-    "page_id long, record_type string, record_id string, target_uri string, refers_to long, "
+    "page_id long, record_type string, record_id string, target_uri string, warc_date string, refers_to long, "
     "payload_bytes long, payload_digest string, payload binary"
 )
+#: Columns that come from headers; equality, membership, order and prefixes are pushed down.
+PUSHED = ("page_id", "record_type", "record_id", "target_uri", "warc_date", "refers_to")
 LEAST = 100
 _BATCH_BYTES = 8 << 20
 
@@ -77,12 +101,18 @@ def encode_record(page_id, url, record_type: str, refers_to, digest: str, size:
 
 
 class _Bytes:
-    """Sequential reads over the gzip members of a stream, with a skip that keeps nothing."""
+    """Sequential reads over a plain stream or its gzip members, with a skip that keeps nothing."""
 
     def __init__(self, stream):
-        self.stream, self.raw, self.z, self.buf = stream, b"", None, bytearray()
+        self.stream, self.z, self.buf = stream, None, bytearray()
+        self.raw = self.stream.read(1 << 20)
+        self.plain = self.raw[:2] != b"\x1f\x8b"
 
     def _more(self) -> bool:
+        if self.plain:
+            self.buf += self.raw
+            got, self.raw = bool(self.raw), self.stream.read(1 << 20)
+            return got
         while True:
             if self.z is None or self.z.eof:
                 if self.z is not None:
@@ -141,28 +171,39 @@ def records(stream, wanted=lambda head: True, payload: bool = True) -> Iterator[
             name, _, value = line.decode("utf-8", "replace").partition(":")
             head[name.strip().lower()] = value.strip()
         size = int(head.get("content-length", 0))
-        if payload and wanted(head) and head.get("warc-type") == "response":
+        want = wanted(head)
+        if want and payload and head.get("warc-type") != "revisit":
             block = data.take(size)
-            cut = block.find(b"\r\n\r\n") + 4 if head.get("content-type", "").startswith("application/http") else 0
-            yield head, block[max(cut, 0) :]
+            http = head.get("content-type", "").replace(" ", "").lower().startswith("application/http")
+            cut = block.find(b"\r\n\r\n") if http else -4
+            yield head, block[cut + 4 :] if cut != -1 else b""
         else:
             data.skip(size)
-            if wanted(head):
+            if want:
                 yield head, None
 
 
-def _fields(head: dict) -> dict:
-    number = lambda x: int(x) if x not in (None, "", "None") else None
-    refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-    return {
-        "page_id": number(head.get("x-page-id")),
-        "record_type": head.get("warc-type"),
-        "record_id": head.get("warc-record-id"),
-        "target_uri": head.get("warc-target-uri"),
-        "refers_to": number(refers),
-        "payload_bytes": number(head.get("x-payload-length")),
-        "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha256:") or None,
-    }
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.lstrip("-").isdigit() else None
+
+
+#: How a column is read from the headers.
+_FIELDS = {
+    "page_id": lambda h: _number(h.get("x-page-id")),
+    "record_type": lambda h: h.get("warc-type"),
+    "record_id": lambda h: h.get("warc-record-id"),
+    "target_uri": lambda h: h.get("warc-target-uri"),
+    "warc_date": lambda h: h.get("warc-date"),
+    "refers_to": lambda h: _number(h.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")),
+    "payload_bytes": lambda h: _number(h.get("x-payload-length")),
+    "payload_digest": lambda h: h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+}
+
+
+def _named(options) -> dict[str, str]:
+    """Column -> header of the option ``headers``: names in any case, parted by commas; '-' becomes '_'."""
+    names = [x.strip().lower() for x in options.get("headers", "").split(",")]
+    return {x.replace("-", "_"): x for x in names if x}
 
 
 class WarcPartition(InputPartition):
@@ -170,45 +211,59 @@ class WarcPartition(InputPartition):
         self.path = path
 
 
-class WarcReader(DataSourceReader):
-    _PUSHED = ("page_id", "record_type", "record_id", "target_uri", "refers_to")
+#: Tests of pushed comparisons; a null never passes.
+_TESTS = {
+    EqualTo: lambda x, value: x == value,
+    In: lambda x, value: x in value,
+    GreaterThan: lambda x, value: x > value,
+    GreaterThanOrEqual: lambda x, value: x >= value,
+    LessThan: lambda x, value: x < value,
+    LessThanOrEqual: lambda x, value: x <= value,
+    StringStartsWith: lambda x, value: x.startswith(value),
+}
 
+
+class WarcReader(DataSourceReader):
     def __init__(self, schema, options):
         self.names = [f.name for f in schema.fields]
-        self.path = options["path"]
+        self.path = options["path"].rstrip("/")
         self.payload = str(options.get("payload", "true")).lower() != "false"
-        self.tests: list[tuple[str, tuple]] = []
+        self.named = _named(options)
+        self.tests: list[tuple[str, str, object]] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute[0] in self._PUSHED and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], (f.value,)))
-            elif isinstance(f, In) and f.attribute[0] in self._PUSHED and len(f.attribute) == 1:
-                self.tests.append((f.attribute[0], tuple(f.value)))
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if type(f) in _TESTS and (name in PUSHED or name in self.named):
+                self.tests.append((name, type(f).__name__, f.value))
             else:
                 yield f
 
     def partitions(self):
-        fs, root = _fs(self.path)
-        with fs.open_input_stream(f"{root}/_MANIFEST.json") as f:
-            names = json.loads(f.read())
-        return [WarcPartition(f"{self.path}/{n}") for n in names]
+        return [WarcPartition(f) for f in archive_files(self.path)]
 
     def read(self, partition):
         if partition is None:  # no file at all
             return
         fs, path = _fs(partition.path)
-        wanted = lambda head: all(_fields(head)[c] in values for c, values in self.tests)
+        get = {c: _FIELDS[c] for c in _FIELDS} | {c: lambda h, k=k: h.get(k) for c, k in self.named.items()}
+        tests = [(get[c], next(t for k, t in _TESTS.items() if k.__name__ == kind), value) for c, kind, value in self.tests]
+        wanted = lambda head: all((x := g(head)) is not None and t(x, value) for g, t, value in tests)
         types = {"page_id": pa.int64(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
         rows: list[dict] = []
         held = 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], types.get(c, pa.string())) for c in self.names], self.names)
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], types.get(c, pa.string())) for c in self.names], self.names)
 
+        # a length that no header tells is that of the payload
+        body_too = self.payload and ("payload" in self.names or "payload_bytes" in self.names)
         with fs.open_input_stream(path, compression=None) as stream:
-            for head, body in records(stream, wanted if self.tests else lambda head: True, self.payload and "payload" in self.names):
-                rows.append(_fields(head) | {"payload": body})
+            for head, body in records(stream, wanted, body_too):
+                row = {c: body if c == "payload" else get[c](head) for c in self.names}
+                if "payload_bytes" in row and row["payload_bytes"] is None and body is not None:
+                    row["payload_bytes"] = len(body)
+                rows.append(row)
                 held += len(body or b"") + 200
                 if held >= _BATCH_BYTES:
                     yield batch()
@@ -217,6 +272,23 @@ class WarcReader(DataSourceReader):
             yield batch()
 
 
+def archive_files(path: str) -> list[str]:
+    """The archives that count under a path: those of its manifests, else every ``*.warc`` and ``*.warc.gz``."""
+    from pyarrow import fs as pafs
+
+    fs, root = _fs(path)
+    if fs.get_file_info(root).type == pafs.FileType.File:
+        return [path]
+    names = sorted(f.base_name for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File)
+    manifests = [n for n in names if n.startswith("_MANIFEST-") and n.endswith(".json")]
+    if manifests:
+        names = []
+        for m in manifests:
+            with fs.open_input_stream(f"{root}/{m}") as f:
+                names += json.loads(f.read())
+    return [f"{path}/{n}" for n in sorted(names) if n.endswith((".warc", ".warc.gz"))]
+
+
 class Written(WriterCommitMessage):
     def __init__(self, name: str | None):
         self.name = name
@@ -225,8 +297,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows (page_id, url, record_type, refers_to, payload_digest, payload string)."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path.rstrip("/"), overwrite
 
     def write(self, iterator):
         fs, root = _fs(self.path)
@@ -243,10 +315,18 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name if out is not None else None)
 
     def commit(self, messages):
+        from pyarrow import fs as pafs
+
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_MANIFEST.json") as f:
-            f.write(json.dumps(sorted(m.name for m in messages if m and m.name)).encode())
+        own = sorted(m.name for m in messages if m and m.name)
+        manifest = f"_MANIFEST-{uuid.uuid4().hex}.json"
+        old = [f for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.File and f.base_name not in own] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{manifest}") as f:
+            f.write(json.dumps(own).encode())
+        for f in sorted(old, key=lambda f: not f.base_name.startswith("_MANIFEST-")):  # manifests first
+            if f.base_name.startswith("_MANIFEST-") or f.base_name.endswith((".warc", ".warc.gz")):
+                fs.delete_file(f.path)
 
     def abort(self, messages):
         """Files of a failed job stay unnamed and are never read."""
@@ -260,13 +340,13 @@ class WarcDataSource(DataSource):
         return "warc"
 
     def schema(self):
-        return SCHEMA
+        return ", ".join([SCHEMA, *(f"{c} string" for c in _named(self.options))])
 
     def reader(self, schema):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark) -> None:
@@ -290,24 +370,28 @@ def plan_records(pages: DataFrame, least: int = LEAST, page_id: str = "page_id",
     hashed = base.withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256))
     heads = (
         hashed.where(F.octet_length("payload") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and head is not null").select("payload_digest", "head")
+        .where("n > 1 and head is not null")
     )
-    joined = hashed.join(heads, "payload_digest", "left")
+    # digests that many rows share, a bounded number, are told without a shuffle; the others meet by digest
+    common = heads.where(F.col("n") > hub_size(pages.count())).select("payload_digest", F.col("head").alias("_common"))
+    near = hashed.join(F.broadcast(common), "payload_digest", "left").withColumn("_key", F.when(F.col("_common").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit("")))))
+    joined = near.join(heads.select(F.col("payload_digest").alias("_key"), F.col("head").alias("_head")), "_key", "left").withColumn("head", F.coalesce("_common", "_head"))
     revisit = F.coalesce(F.col("head").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("head")), F.lit(False))
     return joined.select(
         "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("head")).alias("refers_to"), "payload_digest", "payload")
 
 
-def write_archives(pages: DataFrame, path: str, **columns) -> None:
-    """Writes one record per row under ``path``."""
+def write_archives(pages: DataFrame, path: str, mode: str = "append", **columns) -> None:
+    """Writes one record per row under ``path``; mode is append or overwrite."""
     register(pages.sparkSession)
-    plan_records(pages, **columns).write.format("warc").mode("append").save(path)
+    plan_records(pages, **columns).write.format("warc").mode(mode).save(path)
 
 
-def read_archives(spark, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark, path: str, payload: bool = True, headers: str = "") -> DataFrame:
+    """Records under ``path``; ``headers`` names further headers, parted by commas, that become columns."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("headers", headers).load(path)
 
 
 def op5_warc_source(spark, sf_dir: str) -> DataFrame:

@@ -124,6 +124,12 @@ def test_near_duplicate_edges(spark):
     assert {g[1] for g in got if g[0] is not None} == {3}  # id 5 ties both texts together
     left = minhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] for r in left), key=str) == [3, None, None]
+    own = [(1, "b b b", 1), (1, "a a a", 2), (1, "a a a", 2), (2, "c c c", 3)]
+    d = spark.createDataFrame(own, "doc_id long, text string, _id int")
+    assert sorted(tuple(r) for r in minhash.keep_one(spark, d).collect()) == [(1, "a a a", 2), (2, "c c c", 3)]
+    long = " ".join(f"w{i}" for i in range(300_000))
+    far = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame([(4, long), (6, long + " x"), (8, "x")], "doc_id long, text string")).collect()}
+    assert far == {4: 4, 6: 4, 8: 8}
 
 
 def test_confirmed_pairs_equal_sets():
@@ -220,6 +226,40 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_archives_append_overwrite_and_foreign(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    part = lambda a, b: spark.createDataFrame([(i, f"http://{i}", f"<p>{i}" + "y" * 300_000 * (i == 7)) for i in range(a, b)], "page_id long, url string, html string")
+    warc.write_archives(part(0, 5), path)
+    warc.write_archives(part(5, 10), path)
+    got = {r["page_id"]: r for r in warc.read_archives(spark, path).collect()}
+    assert sorted(got) == list(range(10)) and len(got[7]["payload"]) == 300_004  # a long payload among them
+    warc.write_archives(part(20, 23), path, mode="overwrite")
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == [20, 21, 22]
+    assert len(list((tmp_path / "a").glob("*.warc.gz"))) <= 3
+    # archives of others: plain and gzip, several records to a member, all record types
+    rec = lambda kind, date, ctype, block: (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Date: {date}\r\nWARC-IP-Address: 10.0.0.{len(block)}\r\nContent-Type: {ctype}\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+    one = rec("warcinfo", "2020-01-01T00:00:00Z", "application/warc-fields", b"software: x\r\n") + rec("response", "2021-01-01T00:00:00Z", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody")
+    two = rec("resource", "2022-01-01T00:00:00Z", "text/plain", b"plain\r\n\r\ntext") + rec("conversion", "2023-01-01T00:00:00Z", "text/plain", b"")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.warc").write_bytes(one)
+    (tmp_path / "f" / "y.warc.gz").write_bytes(gzip.compress(two))
+    (tmp_path / "f" / "notes.txt").write_text("no archive")
+    d = warc.read_archives(spark, f"file://{tmp_path}/f", headers="WARC-IP-Address")
+    rows = {r["record_type"]: r for r in d.collect()}
+    assert {k: bytes(r["payload"]) for k, r in rows.items()} == {"warcinfo": b"software: x\r\n", "response": b"body", "resource": b"plain\r\n\r\ntext", "conversion": b""}
+    assert rows["response"]["payload_bytes"] == 4 and rows["response"]["page_id"] is None
+    late = d.where("warc_date >= '2021-06-01' and warc_date < '2023' and warc_ip_address = '10.0.0.13'").select("record_type", "warc_date").collect()
+    assert [tuple(r) for r in late] == [("resource", "2022-01-01T00:00:00Z")] and rows["resource"]["warc_ip_address"] == "10.0.0.13"
+    assert warc.read_archives(spark, f"file://{tmp_path}/f/x.warc").count() == 2
+
+
+def test_common_payloads_meet_no_single_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "hub_size", lambda rows: 3)
+    rows = [(i, "u", "z" * 200 if i % 3 else "q" * 200 if i < 7 else f"own {i}" + "x" * 200) for i in range(30, 0, -1)]
+    plan = warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["refers_to"] for r in plan.collect()} == {i: None if i % 3 == 0 and i >= 7 or i in (1, 3) else 1 if i % 3 else 3 for i in range(1, 31)}
+
+
 def test_pushed_filters_skip_payloads():
     import io
 
@@ -242,7 +282,8 @@ def test_pipeline_keeps_and_drops(spark):
         seen[name] = {r["doc_id"] for r in d.select("doc_id").collect()}
     a, b, c = (seen[n] for n, _ in cp.STAGES[:-1])
     assert c < b <= a
-    rows = [(r["doc_id"], r["text"]) for r in docs.where(docs["doc_id"].isin(list(b))).collect()]
+    clean = cp.quality_rule_stage(spark, docs, DATA)
+    rows = [(r["doc_id"], r["text"]) for r in clean.where(clean["doc_id"].isin(list(b))).collect()]
     want = brute(rows, 5)
     assert c == {i for i, k in want.items() if i == k}
     packed = cp.STAGES[-1][1](spark, d, DATA)
@@ -250,6 +291,27 @@ def test_pipeline_keeps_and_drops(spark):
     assert cp.run(spark, DATA).count() == packed.count()
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    good = "This line is long enough to stay here.\nHome | News | Shop | More\nAnd so is this other one, with its own words."
+    rows = [(1, good, "en", "s", 7, "x"), (1, good, "en", "s", 7, "x"), (2, None, None, None, None, None), (3, "", "en", "s", 0, "x"), (None, good + " More.", "en", "s", 1, "x"), (4, good + " " + "word " * 60_000 + "end.", "en", "s", 1, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    kept = cp.quality_rule_stage(spark, d, DATA)
+    assert kept.columns == d.columns
+    got = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "None"]  # 4 repeats itself too much
+    assert all("Home" not in r["text"] and r["n_chars"] == len(r["text"]) for r in got)
+    for name, stage in cp.STAGES:
+        out, none = stage(spark, d, DATA), stage(spark, d.limit(0), DATA)
+        assert none.count() == 0
+        if name != "packing":
+            assert out.columns == d.columns
+    near = cp.near_duplicate_stage(spark, d, DATA).collect()
+    assert sorted(str(r["doc_id"]) for r in near) == ["1", "2", "3", "4", "None"]
+    assert len({r["doc_id"] for r in cp.packing_stage(spark, d, DATA).collect()}) == 5
+
+
 def test_near_duplicate_stage_among_common_passages(spark, monkeypatch):
     import corpus_pipeline as cp
 

@@ -95,6 +95,45 @@ def test_classifier_is_accurate_held_out(spark, data):
     assert out["score"].between(0, 1).all() and len(out) == len(pd.read_parquet(f"{d}/documents.parquet"))
 
 
+def test_fit_by_brute_force(monkeypatch):
+    """Ratios by counting, and the dual's optimum by projected gradients on a dense matrix."""
+    r = np.random.default_rng(8)
+    y = np.array([0, 1] * 20)
+    rows = [np.unique(np.concatenate([r.integers(0, 30, 8), r.integers(100 * (1 + v), 100 * (1 + v) + 12, 3)])).astype(np.uint16) for v in y]
+    ratio = nb_svm.log_count_ratios(rows, y)
+    for f in (0, 7, 105, 205, 999):
+        in1, in0 = (sum(f in x for x, v in zip(rows, y, strict=True) if v == k) for k in (1, 0))
+        assert np.isclose(ratio[f], np.log((in1 + 1) / (20 + 2)) - np.log((in0 + 1) / (20 + 2)))
+    early = nb_svm.hinge_dual(rows, y, ratio)
+    monkeypatch.setattr(nb_svm, "EPOCHS", 3000)
+    weights, bias = nb_svm.hinge_dual(rows, y, ratio)
+    x = np.zeros((40, 300))
+    for k, own in enumerate(rows):
+        x[k, own] = ratio[own] / np.sqrt(len(own))
+    sign = np.where(y == 1, 1.0, -1.0)
+    z = np.column_stack([x, np.ones(40)]) * sign[:, None]
+    gram, alpha = z @ z.T, np.zeros(40)
+    for _ in range(200_000):
+        new = np.clip(alpha - 0.5 / np.linalg.norm(gram, 2) * (gram @ alpha - 1), 0, 1.0)
+        if np.abs(new - alpha).max() < 1e-12:
+            break
+        alpha = new
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - z @ w).sum()
+    own = lambda w, b: np.append((w / np.where(ratio == 0, 1, ratio))[:300] * (ratio[:300] != 0), b)
+    assert loss(own(weights, bias)) <= 1.01 * loss(alpha @ z) and loss(own(*early)) <= 1.1 * loss(alpha @ z)
+    model = nb_svm.Model(weights, bias, 1.0, 0.0)
+    margin = model.margins(np.concatenate(rows), np.concatenate([[0], np.cumsum([len(v) for v in rows])]))
+    assert np.allclose(margin, [weights[v].sum() / np.sqrt(len(v)) + bias for v in rows])
+
+
+def test_repeated_ids_train_on_one_text(spark):
+    base = [(i, "fine words in a row " * (1 + i % 3) if i % 2 else "junk $$ ## " * (1 + i % 3)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    plain = nb_svm.train(spark.createDataFrame(base, "doc_id long, text string"), labels)
+    again = nb_svm.train(spark.createDataFrame(base + base * 3, "doc_id long, text string"), labels)
+    assert np.array_equal(plain.weights, again.weights) and plain.slope == again.slope
+
+
 def test_classifier_edges(spark):
     d = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(ODD)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
