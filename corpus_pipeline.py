@@ -2,19 +2,32 @@
 
 Each stage works on all rows its predecessor kept and, but for the last, returns the
 columns of ``documents``.  A stage function takes (spark, docs, sf_dir).
+
+Edge cases, for every stage: an empty table gives an empty table of the same columns; texts
+are judged whole, whatever their length; columns other than id and text pass through
+untouched, whatever their names (``n_chars``, if there, follows the text).  Null and empty
+texts fail the quality rules; the later stages, called on their own, score them by the
+classifier's bias, link them with nothing and pack them as a single end mark.  Repeated rows
+and ids: the quality stages judge every row by itself; of rows that repeat an id the
+near-duplicate stage keeps the one with the smallest text, and of each group the smallest
+id (rows without an id stay); packing packs every row it gets.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chromalake.llm import minhash, nb_svm, packing, quality_rules
 from chromalake.runtime import materialize
 
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules keep; their texts stay whole."""
-    return quality_rules.clean(docs, strip=False)
+    """Documents that the line-first rules keep, without the lines that fail."""
+    out = quality_rules.clean(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
