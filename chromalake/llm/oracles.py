@@ -1,5 +1,6 @@
 """DuckDB SQL that restates queries of this subpackage."""
 
+from chromalake.llm import url_filter as _u
 from chromalake.llm.licenses import KNOWN, KNOWN_DIGESTS, SPELLINGS
 
 ALL: dict[str, str] = {}
@@ -36,32 +37,35 @@ _OP2_RULES = """
        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
 
-_LEVEL = """
-own{k} AS (SELECT x{k}, c, sum(a) ac, sum(r) rc FROM p{k} GROUP BY ALL),
-per{k} AS (SELECT x{k}, sum(ac) an, sum(rc) rn, count(*) FILTER (ac > 0) atd, count(*) FILTER (rc > 0) rtd FROM own{k} GROUP BY ALL),
-p{n} AS (SELECT p{k}.* EXCLUDE (ap, rp),
-  CASE WHEN an > 0 THEN (ac + atd * ap) / (an + atd) ELSE ap END::DOUBLE ap,
-  CASE WHEN rn > 0 THEN (rc + rtd * rp) / (rn + rtd) ELSE rp END::DOUBLE rp
-  FROM p{k} JOIN own{k} USING (x{k}, c) JOIN per{k} USING (x{k})),"""
+
+def _levels(order: int) -> str:
+    """Counts of runs from the longest to one character, then probabilities the other way round."""
+    out = [f"l{order} AS (SELECT gram g, n, a, r FROM counts)"]
+    out += [f"l{k} AS (SELECT substr(g, 2) g, sum(a) a, sum(r) r FROM l{k + 1} GROUP BY ALL)" for k in range(order - 1, -1, -1)]
+    for k in range(order + 1):
+        per = f"SELECT left(g, {k}) x, sum(a) an, sum(r) rn, count(*) FILTER (a > 0) atd, count(*) FILTER (r > 0) rtd FROM l{k} GROUP BY ALL"
+        prev = f"p.ap ap, p.rp rp, p.yes yes FROM l{k} l JOIN p{k - 1} p ON p.g = substr(l.g, 2)" if k else f"1 / {_u.ALPHABET}::DOUBLE ap, 1 / {_u.ALPHABET}::DOUBLE rp, false yes FROM l{k} l"
+        yes = "yes" if k else "an > 0 AND rn > 0"
+        out.append(f"""p{k} AS (SELECT g, {'n, ' if k == order else ''}CASE WHEN an > 0 THEN (a + atd * ap) / (an + atd) ELSE ap END::DOUBLE ap,
+  CASE WHEN rn > 0 THEN (r + rtd * rp) / (rn + rtd) ELSE rp END::DOUBLE rp, {yes} yes FROM (SELECT l.*, {prev}) l JOIN ({per}) c ON c.x = left(l.g, {k}))""")
+    return ",\n".join(out)
+
 
 ALL["op2_url_language_model"] = f"""
 WITH parts AS (
   SELECT row_number() OVER () rid, page_id, coalesce(url, '') url,
     translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
     coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') path FROM pages),
-ruled AS (SELECT *, {_OP2_RULES} AS rule FROM parts),
-folds AS (SELECT *, '__' || regexp_replace(regexp_replace(lower(regexp_replace(url, '[^\\x21-\\x7e]', '_', 'gs')), '[0-9]', '0', 'g'), '[^a-z0/.?-]', '_', 'g') || '_' f FROM ruled),
-grams AS (SELECT rid, rule, unnest(list_transform(range(1, length(f) - 1), lambda i: substr(f, i, 3))) gram FROM folds),
-counts AS (SELECT gram, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) a, count(*) FILTER (rule IN ('net/', 'example.com/de/')) r FROM grams WHERE rule IS NOT NULL GROUP BY ALL),
-signs AS (SELECT unnest(string_split('abcdefghijklmnopqrstuvwxyz0/.-?_', '')) s),
-p0 AS (SELECT x.s || y.s || z.s gram, coalesce(a, 0) a, coalesce(r, 0) r, z.s c, '' x0, y.s x1, x.s || y.s x2, 1 / 32::DOUBLE ap, 1 / 32::DOUBLE rp
-  FROM signs x, signs y, signs z LEFT JOIN counts ON counts.gram = x.s || y.s || z.s),
-{_LEVEL.format(k=0, n=1)}{_LEVEL.format(k=1, n=2)}{_LEVEL.format(k=2, n=3)}
-model AS (SELECT gram, CASE WHEN (SELECT an > 0 AND rn > 0 FROM per0) THEN round((ln(ap) - ln(rp)) * 1000000)::BIGINT ELSE 0 END d FROM p3),
+ruled AS (SELECT *, {_OP2_RULES} AS rule, left(md5(url), 1) IN ({', '.join(f"'{x}'" for x in _u.APART)}) apart,
+  repeat(chr(2), {_u.ORDER}) || url || chr(3) f FROM parts),
+grams AS (SELECT rid, rule, apart, unnest(list_transform(range(1, length(url) + 2), lambda i: substr(f, i, {_u.ORDER + 1}))) gram FROM ruled),
+counts AS (SELECT gram, count(*) n, count(*) FILTER (NOT apart AND rule IN ('example.net/en/', 'org/fr/')) a, count(*) FILTER (NOT apart AND rule IN ('net/', 'example.com/de/')) r FROM grams GROUP BY ALL),
+{_levels(_u.ORDER)},
+model AS (SELECT g AS gram, CASE WHEN yes THEN round((ln(ap) - ln(rp)) * 1000000)::BIGINT ELSE 0 END d FROM p{_u.ORDER}),
 scored AS (SELECT rid, floor(sum(d)::DOUBLE / count(*))::BIGINT score FROM grams JOIN model USING (gram) GROUP BY rid),
-judged AS (SELECT page_id, host, path, rule, score, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END v,
+judged AS (SELECT page_id, host, path, rule, apart, score, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END v,
   least(2000, greatest(-2000, floor(score / 10000)))::INT bin FROM ruled JOIN scored USING (rid)),
-hist AS (SELECT bin, count(*) FILTER (v = 'allow') a, count(*) FILTER (v = 'block') r FROM judged WHERE v IS NOT NULL GROUP BY bin),
+hist AS (SELECT bin, count(*) FILTER (v = 'allow') a, count(*) FILTER (v = 'block') r FROM judged WHERE v IS NOT NULL AND apart GROUP BY bin),
 cum AS (SELECT bin, coalesce(lead(bin) OVER (ORDER BY bin DESC), bin - 1) below, sum(a) OVER (ORDER BY bin DESC) ta, sum(r) OVER (ORDER BY bin DESC) tr, sum(a) OVER () na, sum(r) OVER () nr FROM hist),
 cut AS (SELECT coalesce((SELECT (bin + below + 1) * 5000 FROM cum WHERE na > 0 AND nr > 0 ORDER BY ta * nr - tr * na DESC, bin LIMIT 1), 0)::BIGINT threshold)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) verdict, score, threshold FROM judged, cut
