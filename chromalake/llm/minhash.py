@@ -52,6 +52,9 @@ STAR = 0.5
 BLOCK, MARGIN = 512, 0.2
 #: Documents of a family compared at once, and their shingles.
 CHUNK, CHUNK_SHINGLES = 256, 1 << 21
+#: Up to so many narrow rows (three numbers each) are broadcast to pick the wide rows they
+#: need; beyond, both sides are shuffled. Their number is counted first.
+FEW = 500_000
 _TILE = 1 << 13
 
 
@@ -262,15 +265,18 @@ def _alike_batches(least: int):
 def _regroup(spark, bands: DataFrame, heads: DataFrame, sig: DataFrame, odd: DataFrame, comps: DataFrame, least: int, rows: int) -> DataFrame:
     """Families, after the buckets in ``odd`` (band, key) were partitioned to the end."""
     bucket = ["band", "key"]
-    counted = odd.join(heads.select(*bucket, "n"), bucket)
-    hub = hub_size(rows)
-    mixed = materialize(spark, join_counted(bands, counted, bucket, "node", hub), "minhash-buckets")
+    odd = materialize(spark, odd, "minhash-odd")
+    count, hub = odd.count(), hub_size(rows)
+    every = bands.join(F.broadcast(odd), bucket) if count <= FEW else join_counted(bands, odd.join(heads.select(*bucket, "n"), bucket), bucket, "node", hub)
+    mixed = materialize(spark, every, "minhash-buckets")
+    release(spark, odd)
     for lead in (True, False):
         at = mixed.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        per = at.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"))
-        sized = per.groupBy(*bucket).agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m")).select(
-            *bucket, F.col("all").alias("n"), F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
-        dealt = join_counted(at, sized.where("blocks > 1" if lead else "blocks > 0"), bucket, "node", hub).join(sig, "node")
+        per = at.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head"))
+        # the only pair of a bucket of two has been judged; so has, in any bucket, the head with all others
+        sized = per.groupBy(*bucket).agg(F.sum("n").alias("all"), F.min("head").alias("head"), F.max(F.struct("n", "component")).alias("m")).select(
+            *bucket, F.col("all").alias("n"), "all", "head", F.col("m.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("chunks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"))
+        dealt = join_counted(at, sized.where("all > 2 and blocks > 1" if lead else "all > 2 and blocks > 0"), bucket, "node", hub).where(F.lit(lead) | (F.col("all") > BLOCK) | (F.col("node") != F.col("head"))).join(sig, "node")
         dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         every = F.sequence(F.lit(0), F.col("chunks") - 1)
         if lead:  # a row of chunk 0 leads: it is compared with every chunk of its bucket
@@ -291,6 +297,11 @@ def _regroup(spark, bands: DataFrame, heads: DataFrame, sig: DataFrame, odd: Dat
     return comps
 
 
+def _few(ids: DataFrame, rows: int) -> DataFrame:
+    """``ids``, to be broadcast if there are few."""
+    return F.broadcast(ids) if rows <= FEW else ids
+
+
 def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Edges among the rows that share ``keys``; groups are bounded by the caller."""
     parts = rows.select(*keys, "node", "set").repartition(*keys).sortWithinPartitions(*keys, "node")
@@ -312,9 +323,10 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     bands = distinct.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(F.slice("sig", j * ROWS + 1, F.lit(ROWS))))).alias("band", "key"))
     nodes = distinct.count()
     heads = bands.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = join_counted(bands, heads, ["band", "key"], "node", hub_size(BANDS * nodes)).where("node <> head").select("node", "head").distinct()
+    stars = materialize(spark, join_counted(bands, heads, ["band", "key"], "node", hub_size(BANDS * nodes)).where("node <> head").select("node", "head").distinct(), "minhash-heads")
     same = F.aggregate(F.zip_with("sig", "sig_h", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    sig = distinct.select("node", "sig")
+    ends = _few(stars.select(F.explode(F.array("node", "head")).alias("node")).distinct(), stars.count())
+    sig = distinct.select("node", "sig").join(ends, "node", "left_semi")  # all nodes of buckets of two or more
     # of a star that fails, the buckets that both ends share
     both = F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.slice("sig", j * ROWS + 1, F.lit(ROWS)) == F.slice("sig_h", j * ROWS + 1, F.lit(ROWS)))
     judged = materialize(
@@ -328,13 +340,14 @@ def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, d
     if not unlike.isEmpty():
         odd = unlike.select(F.explode("odd").alias("o")).select("o.band", "o.key").distinct()
         families = _regroup(spark, bands, heads, sig, odd, families, int(max(percent / 100 - MARGIN, 0) * MINIMA), BANDS * nodes)
-    release(spark, judged)
+    release(spark, judged, stars)
 
     # Full sets of family members; the family's size decides into how many chunks it is cut.
     members = families.join(distinct.select("node", "n"), "node").select("node", F.col("component").alias("family"), "n")
     sized = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("_t")).select(
         "family", "n", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("_t") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    wanted = join_counted(members.select("node", "family"), sized, ["family"], "node", hub_size(families.count()))
+    total = families.count()
+    wanted = _few(join_counted(members.select("node", "family"), sized, ["family"], "node", hub_size(total)), total)
     texts = base.join(wanted, base["doc_id"] == wanted["node"]).select("node", "text", "family", "chunks")
     written = materialize(spark, texts.mapInArrow(_set_batches(width), "node long, family long, chunks int, set binary"), "minhash-sets")
     sets = written.where(F.length("set") > 0)
@@ -398,6 +411,7 @@ def keep_one(spark, docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     apart by a hash of the whole row.
     """
     gone = near_duplicates(spark, docs, width, percent, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = _few(gone, gone.count())
     out = docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
     twice = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice")
     if twice.isEmpty():

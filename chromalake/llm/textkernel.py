@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, last, buffer, offsets) of runs of whole texts of about ``limit`` bytes.
 
     A single longer text makes a slice of its own; texts are never cut.
