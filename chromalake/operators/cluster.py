@@ -7,13 +7,14 @@ majority of their nearest sampled neighbours by a distributed join.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.functions import graph
 from chromalake.operators import matrix as mx
 from chromalake.operators.knn import exact_knn, vote
 from chromalake.operators.lsi import drop_depth_dims
+from chromalake.operators.sweep import bin_window, in_bins
 from chromalake.runtime import materialize, ship_package
 
 
@@ -52,8 +53,12 @@ def biased_clusters(labels: DataFrame, depth: DataFrame, max_share: float = 0.01
     rows = small.collect()  # one row per small cluster
     if not rows:
         return []
-    rank = F.floor(F.percent_rank().over(W.orderBy("depth")) * n) / n
-    ranked = labels.join(depth, "cell_id").withColumn("q", F.abs(rank - 0.5))
+    at = labels.join(depth, "cell_id").na.fill(0, ["depth"])
+    # ranks of the distinct depths, carried from bin to bin
+    sizes = in_bins(at.groupBy("depth").agg(F.count(F.lit(1)).alias("_n")), [], F.col("depth"), {"_below": (F.sum, F.col("_n"))})
+    less = F.coalesce("_below", F.lit(0)) + F.sum("_n").over(bin_window([], "depth")) - F.col("_n")
+    rank = F.floor(less / max(n - 1, 1) * n) / n
+    ranked = at.join(sizes.select("depth", F.abs(rank - 0.5).alias("q")), "depth")
     cut = ranked.where(F.col("q") >= 0.475).groupBy("cluster").agg(F.count(F.lit(1)).alias("ends"))
     medians = ranked.groupBy("cluster").agg(F.median("q").alias("m")).join(cut, "cluster", "left").na.fill(0, ["ends"])
     found = {r["cluster"]: r for r in medians.join(small, "cluster").collect()}

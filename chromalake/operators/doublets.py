@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.functions import stats as st
 from chromalake.operators import lsi as ls
 from chromalake.operators.knn import exact_knn
+from chromalake.operators.sweep import numbered
 from chromalake.runtime import materialize
 
 P = 1e-4
@@ -21,8 +22,7 @@ def simulate(counts: DataFrame, cells: DataFrame, n: int, seed: int = 5) -> Data
     """
     spark = counts.sparkSession
     total = cells.select("cell_id").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    order = F.row_number().over(W.orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")) - 1
-    at = cells.select("cell_id").distinct().withColumn("pos", order)
+    at = numbered(cells.select("cell_id").distinct(), "cell_id", "pos")
     a = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(1)), total)
     b = F.pmod(a + 1 + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(2)), F.greatest(total - 1, F.lit(1).cast("long"))), total)
     pairs = spark.range(n).select(F.concat(F.lit("doublet"), "id").alias("synthetic"), F.explode(F.array(a, b)).alias("pos"))

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.operators import matrix as mx
+from chromalake.operators.sweep import numbered
 
 
 def blocks(cells: DataFrame, size: int, seed: int = 1, key: str = "cell_id") -> DataFrame:
     """Adds ``block``: cells in hashed order take blocks 0, 1, … in turn."""
     n = cells.count()
     count = max(1, -(-n // size))
-    # position in hashed order modulo the number of blocks, without sorting everything in one task
-    return cells.withColumn("block", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(count)).cast("int"))
+    return numbered(cells, key, "block", seed).withColumn("block", (F.col("block") % count).cast("int"))
 
 
 def variable_genes(counts: DataFrame, n: int, n_cells: int) -> DataFrame:

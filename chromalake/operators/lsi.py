@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chromalake.functions.stats import correlation
 from chromalake.operators import matrix as mx
+from chromalake.operators.sweep import numbered
 from chromalake.runtime import materialize, ship_package
 
 
@@ -33,7 +34,7 @@ def sample_cells(cells: DataFrame, n: int, quantiles: tuple[float, float] = (0.0
     at = cells.join(q, sample).withColumn("_want", F.ceil(F.lit(n) * F.col("_n") / share)).withColumn("_in", (d >= F.col("_lo")) & (d <= F.col("_hi")))
     inside = F.sum(F.col("_in").cast("int")).over(W.partitionBy(sample))
     pool = at.withColumn("_enough", inside >= F.col("_want")).where(F.col("_in") | ~F.col("_enough"))
-    order = F.row_number().over(W.partitionBy(sample).orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id"))
+    order = F.row_number().over(W.partitionBy(sample).orderBy(F.md5(F.concat_ws("/", "cell_id", F.lit(seed))), "cell_id"))
     return pool.withColumn("_o", order).where("_o <= _want").select(cells.columns)
 
 
@@ -155,9 +156,7 @@ def fit_lsi(spark, counts: DataFrame, rank: int, method: int = 2, scale: float =
         inner = mx.subset(use, inside, "cell_id")
         use = inner if not inner.isEmpty() else use
     use = materialize(spark, use, "lsi-train")
-    # selected features only: a table of at most num_features rows
-    features = mx.row_sums(use).where("row_sum > 0").withColumn("fidx", (F.row_number().over(W.orderBy("feature_id")) - 1).cast("int"))
-    features = materialize(spark, features, "lsi-features")
+    features = materialize(spark, numbered(mx.row_sums(use).where("row_sum > 0"), "feature_id", "fidx").withColumn("fidx", F.col("fidx").cast("int")), "lsi-features")
     n_features, n_cells = features.count(), use.select("cell_id").distinct().count()
     weights = mx.tf_idf(use, method, scale, n_cells, features.select("feature_id", "row_sum"))
     train = materialize(spark, _vectors(weights, features), "lsi-vectors")

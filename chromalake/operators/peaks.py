@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chromalake.functions import genomic as g
 from chromalake.functions.stats import poisson_log10_tail, rank_quantile
 from chromalake.operators import intervals as iv
+from chromalake.operators.sweep import bin_window, in_bins
 from chromalake.runtime import materialize
 
 
@@ -20,11 +21,22 @@ def pileup(cuts: DataFrame, shift: int = -75, extend: int = 150) -> DataFrame:
     s = F.greatest(F.lit(0).cast("long"), F.col("start") + shift)
     steps = cuts.select("group", "seqname", F.explode(F.array(F.struct(s.alias("pos"), F.lit(1).alias("d")), F.struct((F.col("start") + shift + extend).alias("pos"), F.lit(-1).alias("d")))).alias("x"))
     steps = steps.groupBy("group", "seqname", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).where("d <> 0")
-    over = W.partitionBy("group", "seqname").orderBy("pos")
-    runs = steps.select("group", "seqname", F.col("pos").alias("start"), F.lead("pos").over(over).alias("end"), F.sum("d").over(over).alias("depth"))
+    key = ["group", "seqname"]
+    steps = in_bins(steps, key, F.col("pos"), {"_below": (F.sum, F.col("d"))}, {"_next": (F.min, F.col("pos"))})
+    over = bin_window(key, "pos")
+    depth = F.coalesce("_below", F.lit(0)) + F.sum("d").over(over)
+    runs = steps.select(*key, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(over), "_next").alias("end"), depth.alias("depth"))
     return runs.where("depth > 0 and end is not null")
 
 
+def _chained(df: DataFrame, key: list[str], out: str) -> DataFrame:
+    """Numbers chains along a sequence: each row gets the start of the last row that is ``_new``."""
+    first = F.when(F.col("_new"), F.col("start"))
+    df = in_bins(df, key, F.col("start"), {"_chain": (F.max, first)})
+    here = F.max(first).over(bin_window(key, "start"))
+    return df.withColumn(out, F.coalesce(here, F.col("_chain"))).drop("_new", "_chain", "_bin")
+
+
 def call_peaks(cuts: DataFrame, genome_size: float, cutoff: float = 0.1, use_q: bool = True, shift: int = -75, extend: int = 150, min_length: int | None = None, max_gap: int = 50) -> DataFrame:
     """Summits (group, seqname, start, end, score): local maxima of runs above the cutoff.
 
@@ -45,9 +57,12 @@ def call_peaks(cuts: DataFrame, genome_size: float, cutoff: float = 0.1, use_q:
     hist = hist.withColumn("_q", raw).withColumn("q", F.greatest(F.lit(0.0), F.min("_q").over(down)))
     level = "q" if use_q else "p"
     above = runs.join(hist.select("group", "depth", "p", "q"), ["group", "depth"]).where(F.col(level) >= -F.log10(F.lit(cutoff)))
-    over = W.partitionBy("group", "seqname").orderBy("start")
-    new = (F.col("start") - F.lag("end").over(over) > max_gap) | F.lag("end").over(over).isNull()
-    above = above.withColumn("region", F.sum(new.cast("int")).over(over))
+    above = materialize(spark, above, "peaks-above")
+    key = ["group", "seqname"]
+    # runs do not overlap, so the largest end before a run is that of the run before it
+    above = in_bins(above, key, F.col("start"), {"_reach": (F.max, F.col("end"))})
+    last = F.coalesce(F.lag("end").over(bin_window(key, "start")), "_reach")
+    above = _chained(above.withColumn("_new", last.isNull() | (F.col("start") - last > max_gap)).drop("_reach", "_bin"), key, "region")
     region = above.groupBy("group", "seqname", "region").agg(
         F.min("start").alias("s"), F.max("end").alias("e"), F.max(F.struct(F.col("depth"), -F.col("start"), F.col("end"), F.col("q"), F.col("p"))).alias("top"))
     region = region.where(F.col("e") - F.col("s") >= (extend if min_length is None else min_length))
@@ -74,9 +89,13 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def remove_overlaps(peaks: DataFrame, by: str, key: list[str]) -> DataFrame:
     """Greedy selection by ``by``; a group is a connected run of overlapping peaks, not a sequence."""
-    over = W.partitionBy(*key).orderBy("start")
-    reach = F.max("end").over(over.rowsBetween(W.unboundedPreceding, -1))
-    runs = peaks.withColumn("_new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int")).withColumn("_run", F.sum("_new").over(over)).drop("_new").withColumn("rank_by", F.col(by))
+    spark = peaks.sparkSession
+    # tables, as every sweep reads its input twice
+    binned = in_bins(materialize(spark, peaks, "peaks"), key, F.col("start"), {"_reach": (F.max, F.col("end"))})
+    here = F.max("end").over(bin_window(key, "start", "end").rowsBetween(W.unboundedPreceding, -1))
+    reach = F.greatest(here, F.col("_reach"))
+    binned = binned.withColumn("_new", reach.isNull() | (reach < F.col("start"))).drop("_reach", "_bin")
+    runs = materialize(spark, _chained(binned, key, "_run").withColumn("rank_by", F.col(by)), "peak-runs")
     # most runs are single peaks and never leave the JVM
     size = runs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*key, "_run")))
     single = size.where("_n = 1").drop("_n")
@@ -90,18 +109,20 @@ def reproducible_peaks(summits: DataFrame, reproducibility: str = "2", extend: i
 
     ``summits``: (unit, seqname, start, end, score, …) within ``group``.  Scores become rank
     quantiles per unit; overlaps are resolved greedily; ``reproducibility`` is a Spark SQL
-    expression of ``n``, the number of units.  ``literal`` keeps overlapping and unsupported peaks.
+    expression of ``n``, the number of units.  A single unit cannot be reproduced: its peaks stay
+    and both reproducibility columns are null.  ``literal`` keeps overlapping and unsupported peaks.
     """
     group = group or []
     width = 2 * extend + 1
     wide = g.with_pair(summits, g.centered(F.col("start"), F.col("end"), width)).withColumn(out, rank_quantile(by, [*group, unit]))
     if lengths is not None:
         wide = g.with_pair(wide.join(F.broadcast(lengths), "seqname", "left"), g.trimmed(F.col("start"), F.col("end"), F.col("length"))).where(F.col("end") - F.col("start") + 1 == width).drop("length")
+    wide = materialize(wide.sparkSession, wide, "peaks-wide")
     first = W.partitionBy(*group, "seqname", "start", "end").orderBy(F.col(out).desc(), unit)
     distinct = wide.withColumn("_f", F.row_number().over(first)).where("_f = 1").drop("_f")
     chosen = distinct if literal else remove_overlaps(distinct, out, [*group, "seqname"])
     key = F.concat_ws(":", *group, "seqname", "start", "end")
-    chosen = chosen.withColumn("peak", key)
+    chosen = materialize(wide.sparkSession, chosen.withColumn("peak", key), "peaks-chosen")
     space = F.concat_ws("/", *group, "seqname") if group else F.col("seqname")
     a = chosen.select("peak", space.alias("seqname"), "start", "end")
     b = wide.select(space.alias("seqname"), "start", "end", F.col(unit).alias("_u"))
@@ -109,9 +130,11 @@ def reproducible_peaks(summits: DataFrame, reproducibility: str = "2", extend: i
     n = wide.groupBy(*group).agg(F.count_distinct(unit).alias("n")) if group else wide.agg(F.count_distinct(unit).alias("n"))
     joined = chosen.join(seen, "peak", "left").na.fill(0, ["reproducibility"])
     joined = joined.join(F.broadcast(n), group) if group else joined.withColumn("n", n.scalar())
-    joined = joined.withColumn("reproducibility_percent", F.col("reproducibility") / F.col("n"))
+    joined = joined.withColumn("reproducibility_percent", F.bround(F.col("reproducibility") / F.col("n"), 3))
+    alone = F.col("n") == 1
     if not literal:
-        joined = joined.where(F.col("reproducibility") >= F.expr(reproducibility))
+        joined = joined.where(alone | (F.col("reproducibility") >= F.expr(reproducibility)))
+    joined = joined.withColumns({c: F.when(~alone, F.col(c)) for c in ("reproducibility", "reproducibility_percent")})
     return joined.drop("peak", "n")
 
 

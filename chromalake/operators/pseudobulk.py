@@ -76,7 +76,7 @@ def select_cells(
     """(group, rep, cell_id); a cell may be in several replicates of its group in tier 5."""
     base = cells.select("cell_id", F.col(group).alias("group"), F.col(sample).alias("sample"))
     tier = tiers(cells, group, sample, min_cells, min_reps, ratio)
-    drawn = F.xxhash64("cell_id", F.lit(seed))
+    drawn = F.md5(F.concat_ws("/", "cell_id", F.lit(seed)))
     at = base.join(F.broadcast(tier), "group").withColumns({
         "rs": F.row_number().over(W.partitionBy("group", "sample").orderBy(drawn, "cell_id")),
         "rg": F.row_number().over(W.partitionBy("group").orderBy(drawn, "cell_id")),
@@ -99,7 +99,7 @@ def select_cells(
     four = four.where(in_part | (F.col("rg") <= part * min_reps + (min_cells - part)))
     # tier 5: an order of its own for each replicate
     five = at.where("tier = 5").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(min_reps))))
-    five = five.withColumn("_r", F.row_number().over(W.partitionBy("group", "rep").orderBy(F.xxhash64("cell_id", "rep", F.lit(seed)), "cell_id"))).where(F.col("_r") <= min_cells)
+    five = five.withColumn("_r", F.row_number().over(W.partitionBy("group", "rep").orderBy(F.md5(F.concat_ws("/", "cell_id", "rep", F.lit(seed))), "cell_id"))).where(F.col("_r") <= min_cells)
     cols = ["group", "rep", "cell_id"]
     out = one.select(cols)
     for part_ in (two, three, four, five):

@@ -137,9 +137,9 @@ def drop_zero_features(spark, d):
     return mx.drop_zero(counts(spark, d).withColumn("value", F.col("value") - 1), "feature_id")
 
 
-@query(f"SELECT name, seqname FROM {GENES} WHERE seqname IN (SELECT event_type FROM events WHERE value > 300)")
+@query(f"SELECT name, seqname FROM {GENES} WHERE seqname IN (SELECT event_type FROM events WHERE event_type < 'purchase')")
 def prune_seqnames(spark, d):
-    other = table(spark, d, "events").where("value > 300").select(F.col("event_type").alias("seqname"))
+    other = table(spark, d, "events").where("event_type < 'purchase'").select(F.col("event_type").alias("seqname"))
     return iv.prune_seqnames(genes(spark, d), other).select("name", "seqname")
 
 
@@ -173,9 +173,10 @@ def overlap_join(spark, d):
     return p.select(F.col("l_name").alias("name"), F.col("r_cell_id").alias("cell_id"), F.greatest("l_start", "r_start").alias("s"), F.least("l_end", "r_end").alias("e"))
 
 
-@query(f"""SELECT a.name AS l_name, b.name AS r_name FROM {GENES} a JOIN {GENES} b ON a.seqname = b.seqname AND a."start" <= b."end" AND b."start" <= a."end" AND a.strand = b.strand AND a.name < b.name""")
+@query(f"""SELECT a.name AS l_name, b.name AS r_name FROM {GENES} a JOIN {GENES} b ON a.seqname = b.seqname AND a."start" - 400 <= b."end" + 400 AND b."start" - 400 <= a."end" + 400 AND a.strand = b.strand AND a.name < b.name""")
 def self_overlap_stranded(spark, d):
-    return iv.self_overlaps(genes(spark, d), "name", ignore_strand=False)
+    s, e = g.widened(F.col("start"), F.col("end"), 400)
+    return iv.self_overlaps(genes(spark, d).withColumns({"start": s, "end": e}), "name", ignore_strand=False)
 
 
 @query(f"""SELECT name, EXISTS (SELECT 1 FROM {FRAGMENTS} f WHERE f.chrom = g.seqname AND f."start" <= g."end" AND g."start" <= f."end") AS hit FROM {GENES} g""")
@@ -267,10 +268,10 @@ def medians(spark, d):
     return cells(spark, d).groupBy("sample").agg(r6(F.median("balance"), "median"))
 
 
-@query(f"""SELECT seqname, "start", "end", min(name) AS name FROM {GENES} GROUP BY ALL""")
+@query(f"""SELECT seqname, "start" // 5000 * 5000 + 1 AS "start", "start" // 5000 * 5000 + 5000 AS "end", min(name) AS name FROM {GENES} GROUP BY ALL""")
 def distinct_ranges(spark, d):
-    w = W.partitionBy("seqname", "start", "end").orderBy("name")
-    return genes(spark, d).withColumn("_r", F.row_number().over(w)).where("_r = 1").select("seqname", "start", "end", "name")
+    s = F.floor(F.col("start") / 5000) * 5000
+    return iv.distinct_ranges(genes(spark, d).withColumns({"start": s + 1, "end": s + 5000}), "name").select("seqname", "start", "end", "name")
 
 
 @query(f"SELECT cell_id, i AS threshold, count(*)::BIGINT AS n FROM (SELECT cell_id, unnest(range(1, value + 1)) AS i FROM {COUNTS}) GROUP BY ALL")
@@ -326,9 +327,9 @@ def set_operations(spark, d):
     return a.intersect(names("click", "view", "other")).union(names("zeta", "alpha")).distinct()
 
 
-@query(f"SELECT cell_id FROM {CELLS} WHERE cell_id NOT IN (SELECT cell_id FROM {COUNTS} WHERE value >= 3)")
+@query(f"SELECT cell_id FROM {CELLS} WHERE cell_id NOT IN (SELECT cell_id FROM {COUNTS} WHERE value >= 4)")
 def anti_join_cells(spark, d):
-    return cells(spark, d).select("cell_id").join(counts(spark, d).where("value >= 3"), "cell_id", "left_anti")
+    return cells(spark, d).select("cell_id").join(counts(spark, d).where("value >= 4"), "cell_id", "left_anti")
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -441,7 +442,10 @@ def depth_correlation(spark, d):
     return lsi.depth_correlation(e, e.select("cell_id", F.col("cell_id").alias("fragments"))).select("dim", r6(F.col("correlation"), "correlation"))
 
 
-@query()
+@query(f"""WITH c AS (SELECT *, log10(fragments + 1) AS d FROM {CELLS}), q AS (SELECT sample, quantile_cont(d, 0.01) lo, quantile_cont(d, 0.99) hi, count(*) n FROM c GROUP BY 1),
+p AS (SELECT c.*, d BETWEEN lo AND hi AS ok, ceil(50 * n / (SELECT count(*) FROM c)::DOUBLE) AS want FROM c JOIN q USING (sample)),
+e AS (SELECT *, sum(ok::INT) OVER (PARTITION BY sample) >= want AS enough FROM p)
+SELECT cell_id, sample, fragments, cluster, balance FROM e WHERE ok OR NOT enough QUALIFY row_number() OVER (PARTITION BY sample ORDER BY md5(cell_id || '/1'), cell_id) <= want""")
 def sampled_cells(spark, d):
     return lsi.sample_cells(cells(spark, d), 50)
 
@@ -459,12 +463,26 @@ def iterative_lsi(spark, d):
     return embedding
 
 
-@query()
+@query("SELECT unnest(range(0, 5))::INT AS dim, 1.0::DOUBLE AS correlation")
 def projection_correlation(spark, d):
     """Training cells projected again agree with their embedding."""
     c = counts(spark, d)
     embedding, model = lsi.fit_lsi(spark, c, 5, outlier_quantiles=None)
-    return lsi.projection_check(embedding, lsi.project_cells(c, model))
+    return lsi.projection_check(embedding, lsi.project_cells(c, model)).select("dim", r6(F.col("correlation"), "correlation"))
+
+
+@query("""WITH f AS (SELECT DISTINCT p_size AS size FROM part), c AS (SELECT c_custkey::VARCHAR AS cell_id, c_custkey % 3 = 0 AS first, 1 + c_custkey % 100 AS b FROM customer),
+n AS (SELECT sqrt(sum(size * size) FILTER (size > 25)) AS x, sqrt(sum(size * size) FILTER (size <= 25)) AS y FROM f)
+SELECT cell_id, round(CASE WHEN first THEN b * x ELSE 0 END, 4) AS large, round(CASE WHEN first THEN 0 ELSE b * y END, 4) AS small FROM c, n""")
+def planted_svd(spark, d):
+    """Two blocks of rank one that share neither rows nor columns: factors and embedding are known."""
+    sizes = table(spark, d, "part").select("p_size").distinct()
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("cell_id"), (F.col("c_custkey") % 3 == 0).alias("first"), (F.col("c_custkey") % 100 + 1).alias("b"))
+    values = c.join(F.broadcast(sizes), F.col("first") == (F.col("p_size") > 25)).select("cell_id", F.col("p_size").alias("feature_id"), (F.col("p_size") * F.col("b")).cast("double").alias("value"))
+    features = sizes.select(F.col("p_size").alias("feature_id"), F.col("p_size").alias("fidx"))
+    vectors = lsi._vectors(values, features)
+    u, _ = lsi.svd(vectors, 51, 2)
+    return lsi.project(vectors, u).select("cell_id", *[F.round(F.element_at("embedding", i + 1), 4).alias(n) for i, n in enumerate(("large", "small"))])
 
 
 # --- neighbours and clusters --------------------------------------------------------------------
@@ -513,11 +531,50 @@ def _pb_cells(spark, d):
     return c.select(g.cell_id(F.col("sample"), F.col("barcode")).alias("cell_id"), "sample", letter.alias("cluster"))
 
 
-@query()
+_PB_CELLS = f"""(SELECT cell_id, sample, chr((65 + length(barcode) % 3 + CASE WHEN sample = 'S3' THEN 1 ELSE 0 END)::INT) AS "group" FROM (SELECT DISTINCT cell_id, barcode, sample FROM {FRAGMENTS}))"""
+_PB_USERS = f"""(SELECT DISTINCT cell_id, 'S' AS sample, CASE WHEN substr(barcode, 2)::BIGINT < 55 THEN 'X' WHEN substr(barcode, 2)::BIGINT < 105 THEN 'Y' ELSE 'Z' END AS "group" FROM {FRAGMENTS})"""
+
+
+def _replicates_sql(cells: str, least: int, most: int, reps: int = 2, limit: int = 5, ratio: float = 0.8) -> str:
+    """The cells of each replicate, policy by policy."""
+    need, part = least * reps, int(least * ratio)
+    return f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY "group", sample ORDER BY md5(cell_id || '/1'), cell_id) AS rs, row_number() OVER (PARTITION BY "group" ORDER BY md5(cell_id || '/1'), cell_id) AS rg FROM {cells}),
+per AS (SELECT "group", sample, count(*) AS n, row_number() OVER (PARTITION BY "group" ORDER BY count(*) DESC, sample) AS i FROM c GROUP BY 1, 2),
+t AS (SELECT "group", sum(n) AS total, CASE WHEN sum((n > {least})::INT) >= {reps} THEN 1 WHEN count(*) > 1 AND sum(least(n, {least})) > {need} THEN 2 WHEN sum(n) >= {need} THEN 3
+  WHEN sum(n) >= {need * ratio + least - least * ratio} THEN 4 WHEN sum(n) >= {need * ratio} THEN 5 END AS tier FROM per GROUP BY 1),
+walk AS (SELECT "group", sample, i, n, 1 AS rep, least(n, {least}) AS have, least(n, {least}) AS take FROM per JOIN t USING ("group") WHERE tier = 2 AND i = 1
+  UNION ALL SELECT p."group", p.sample, p.i, p.n, CASE WHEN have >= {least} THEN rep + 1 ELSE rep END, CASE WHEN have >= {least} THEN least(p.n, {least}) ELSE have + least(p.n, {least} - have) END,
+    CASE WHEN have >= {least} THEN least(p.n, {least}) ELSE least(p.n, {least} - have) END FROM walk w JOIN per p ON p."group" = w."group" AND p.i = w.i + 1 WHERE NOT (have >= {least} AND rep = {limit})),
+spare AS (SELECT p."group", p.sample, p.i, coalesce(take, 0) AS used, p.n - coalesce(take, 0) AS free FROM per p JOIN t USING ("group") LEFT JOIN walk w ON w."group" = p."group" AND w.i = p.i WHERE tier = 2),
+final AS (SELECT "group", max(rep) AS rep, {least} - max_by(have, i) AS short FROM walk GROUP BY 1),
+top AS (SELECT s."group", rep, sample, used AS lo, used + least(free, greatest(0, short - coalesce(sum(free) OVER (PARTITION BY s."group" ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS hi FROM spare s JOIN final f ON f."group" = s."group"),
+lost AS (SELECT f."group", f.rep FROM final f WHERE short > (SELECT sum(free) FROM spare s WHERE s."group" = f."group")),
+plan AS (SELECT * FROM (SELECT "group", rep, sample, 0 AS lo, take AS hi FROM walk UNION ALL SELECT "group", rep, sample, lo, hi FROM top) x WHERE hi > lo AND NOT EXISTS (SELECT 1 FROM lost WHERE lost."group" = x."group" AND lost.rep = x.rep)),
+s3 AS (SELECT *, (rg - 1) // least({most}, greatest({least}, total // {reps})) + 1 AS rep, least({most}, greatest({least}, total // {reps})) AS size FROM c JOIN t USING ("group") WHERE tier = 3)
+SELECT "group", rep::INT AS rep, cell_id FROM (
+  SELECT "group", i AS rep, cell_id FROM c JOIN t USING ("group") JOIN per USING ("group", sample) WHERE tier = 1 AND n >= {least} AND i <= {limit} AND rs <= {most}
+  UNION ALL SELECT "group", rep, cell_id FROM c JOIN plan USING ("group", sample) WHERE rs > lo AND rs <= hi
+  UNION ALL SELECT "group", rep, cell_id FROM s3 WHERE rep <= {limit} AND (rep * size <= total OR total - (rep - 1) * size >= {least})
+  UNION ALL SELECT "group", (rg - 1) // {part} + 1, cell_id FROM c JOIN t USING ("group") WHERE tier = 4 AND rg <= {part * reps}
+  UNION ALL SELECT "group", unnest(range(1, {reps + 1})), cell_id FROM c JOIN t USING ("group") WHERE tier = 4 AND rg > {part * reps} AND rg <= {part * reps + least - part}
+  UNION ALL SELECT "group", rep, cell_id FROM (SELECT "group", cell_id, unnest(range(1, {reps + 1})) AS rep FROM c JOIN t USING ("group") WHERE tier = 5) QUALIFY row_number() OVER (PARTITION BY "group", rep ORDER BY md5(cell_id || '/' || rep || '/1'), cell_id) <= {least})"""
+
+
+@query(_replicates_sql(_PB_CELLS, 20, 60))
 def pseudobulk_cells(spark, d):
+    """Groups of several samples: whole samples, or small ones put together."""
     return pb.select_cells(_pb_cells(spark, d), min_cells=20, max_cells=60)
 
 
+@query(_replicates_sql(_PB_USERS, 27, 60))
+def pseudobulk_random_cells(spark, d):
+    """Groups of one sample: disjoint random replicates, topped up ones, independent draws."""
+    user = F.col("user_id")
+    c = table(spark, d, "events").select("user_id").distinct().select(
+        g.cell_id(F.concat(F.lit("S"), user % 4), F.concat(F.lit("B"), user)).alias("cell_id"), F.lit("S").alias("sample"), F.when(user < 55, "X").when(user < 105, "Y").otherwise("Z").alias("cluster"))
+    return pb.select_cells(c, min_cells=27, max_cells=60)
+
+
 @query(f"""SELECT feature_id, sample || '_pseudobulk_rep1' AS replicate, sum(value)::BIGINT AS value FROM {COUNTS} JOIN {CELLS} USING (cell_id) GROUP BY ALL""")
 def pseudobulk_counts(spark, d):
     sel = cells(spark, d).select(F.col("sample").alias("group"), F.lit(1).alias("rep"), "cell_id")
@@ -531,17 +588,67 @@ def cut_pileup(spark, d):
     return pk.pileup(fragments(spark, d).select(F.col("sample").alias("group"), F.col("chrom").alias("seqname"), "start"))
 
 
-def _summits(spark, d):
-    cuts = fragments(spark, d).select(F.col("sample").alias("group"), F.col("chrom").alias("seqname"), "start")
-    return pk.call_peaks(cuts, 5.0 * SPAN, 0.5, use_q=False, max_gap=50)
+#: Cuts of one sequence gathered into its first day, so that some places stand out.
+_GATHERED = f"""(SELECT * REPLACE (CASE WHEN chrom = 'view' THEN "start" % 86400 ELSE "start" END AS "start") FROM {FRAGMENTS})"""
 
 
-@query()
+def _peaks_sql(level: str, cutoff: float, source: str = FRAGMENTS) -> str:
+    """Poisson tails are summed upwards from the depth."""
+    return f"""WITH s AS (SELECT chrom, "group", pos, sum(d) d FROM (SELECT chrom, sample AS "group", unnest([greatest(0, "start" - 75), "start" + 75]) pos, unnest([1, -1]) d FROM {source}) GROUP BY ALL HAVING sum(d) <> 0),
+r AS (SELECT * FROM (SELECT chrom, "group", pos AS s, lead(pos) OVER w AS e, sum(d) OVER w AS depth FROM s WINDOW w AS (PARTITION BY chrom, "group" ORDER BY pos)) WHERE depth > 0 AND e IS NOT NULL),
+rate AS (SELECT sample AS "group", count(*) * 150.0::DOUBLE / {5.0 * SPAN} AS m FROM {source} GROUP BY 1),
+h0 AS (SELECT "group", depth, m, sum(e - s) AS bases FROM r JOIN rate USING ("group") GROUP BY ALL),
+h AS (SELECT *, -log10(list_sum(list_transform(range(depth::BIGINT, depth::BIGINT + 100), lambda i: exp(i * ln(m) - m - lgamma(i + 1))))) AS p FROM h0),
+h1 AS (SELECT *, p + log10(sum(bases) OVER w) - log10({5.0 * SPAN}) AS raw FROM h WINDOW w AS (PARTITION BY "group" ORDER BY p DESC)),
+h2 AS (SELECT *, greatest(0.0, min(raw) OVER (PARTITION BY "group" ORDER BY p DESC)) AS q FROM h1),
+a AS (SELECT r.*, {level} AS score FROM r JOIN h2 USING ("group", depth) WHERE {level} >= -log10({cutoff}::DOUBLE)),
+a1 AS (SELECT *, coalesce(s - lag(e) OVER (PARTITION BY chrom, "group" ORDER BY s) > 50, true) AS fresh FROM a),
+a2 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY chrom, "group" ORDER BY s) AS region FROM a1),
+a3 AS (SELECT *, max(e) OVER w - min(s) OVER w AS length, row_number() OVER (PARTITION BY chrom, "group", region ORDER BY depth DESC, s) AS best FROM a2 WINDOW w AS (PARTITION BY chrom, "group", region))
+SELECT "group", chrom AS seqname, ((s + e) // 2 + 1)::BIGINT AS "start", ((s + e) // 2 + 1)::BIGINT AS "end", round(score, 6) AS score FROM a3 WHERE best = 1 AND length >= 150"""
+
+
+def _summits(spark, d, cutoff=0.5, use_q=False, gathered=False):
+    at = F.when((F.col("chrom") == "view") & F.lit(gathered), F.col("start") % 86400).otherwise(F.col("start"))
+    cuts = fragments(spark, d).select(F.col("sample").alias("group"), F.col("chrom").alias("seqname"), at.alias("start"))
+    return pk.call_peaks(cuts, 5.0 * SPAN, cutoff, use_q=use_q, max_gap=50).withColumn("score", F.round("score", 6))
+
+
+@query(_peaks_sql("p", 0.5))
 def called_peaks(spark, d):
     return _summits(spark, d)
 
 
-@query()
+@query(_peaks_sql("q", 0.1, _GATHERED))
+def called_peaks_q(spark, d):
+    return _summits(spark, d, 0.1, True, True)
+
+
+def _greedy_sql(name: str, rows: str, key: str, by: str) -> str:
+    """Peaks of ``rows`` in falling order, each kept if it meets none kept before."""
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {by} DESC, "start") AS i FROM {rows}),
+{name}_w AS (SELECT {key}, 1 AS i, true AS ok, [{{'s': "start", 'e': "end"}}] AS kept FROM {name}_o WHERE i = 1
+  UNION ALL SELECT {", ".join(f"o.{k}" for k in key.split(", "))}, o.i, len(list_filter(w.kept, lambda k: k.s <= o."end" AND k.e >= o."start")) = 0,
+    CASE WHEN len(list_filter(w.kept, lambda k: k.s <= o."end" AND k.e >= o."start")) = 0 THEN list_append(w.kept, {{'s': o."start", 'e': o."end"}}) ELSE w.kept END
+  FROM {name}_w w JOIN {name}_o o ON o.i = w.i + 1 AND {" AND ".join(f"o.{k} = w.{k}" for k in key.split(", "))}),
+{name} AS (SELECT o.* FROM {name}_o o JOIN {name}_w w ON o.i = w.i AND ok AND {" AND ".join(f"o.{k} = w.{k}" for k in key.split(", "))})"""
+
+
+def _rank_sql(by: str, key: str) -> str:
+    return f"""round_even(floor(rank() OVER (PARTITION BY {key} ORDER BY {by}) + (count(*) OVER (PARTITION BY {key}, {by}) - 1) / 2) / count(*) OVER (PARTITION BY {key}), 3)"""
+
+
+@query(f"""WITH RECURSIVE summits AS MATERIALIZED ({_peaks_sql("p", 0.5)}),
+w AS (SELECT "group" AS replicate, CASE WHEN "group" IN ('S0', 'S1') THEN 'A' ELSE 'B' END AS "group", seqname, "start" - 250 AS "start", "end" + 250 AS "end", score FROM summits),
+wide AS MATERIALIZED (SELECT *, {_rank_sql("score", '"group", replicate')} AS replicate_quantile FROM w),
+d1 AS MATERIALIZED (SELECT * FROM wide QUALIFY row_number() OVER (PARTITION BY "group", seqname, "start", "end" ORDER BY replicate_quantile DESC, replicate) = 1),
+{_greedy_sql("g1", "d1", '"group", seqname', "replicate_quantile")},
+seen AS (SELECT a."group", a.seqname, a."start", count(DISTINCT b.replicate) AS reproducibility FROM g1 a JOIN wide b ON a."group" = b."group" AND a.seqname = b.seqname AND a."start" <= b."end" AND b."start" <= a."end" GROUP BY ALL),
+n AS (SELECT "group", count(DISTINCT replicate) AS n FROM wide GROUP BY 1),
+r1 AS MATERIALIZED (SELECT g1.* EXCLUDE (i), reproducibility, n, round_even(reproducibility / n, 3) AS reproducibility_percent FROM g1 JOIN seen USING ("group", seqname, "start") JOIN n USING ("group") WHERE n = 1 OR reproducibility >= (n + 1) / 2),
+d2 AS MATERIALIZED (SELECT *, {_rank_sql("replicate_quantile", '"group"')} AS group_quantile FROM r1),
+{_greedy_sql("g2", "(SELECT *, 1 AS one FROM d2)", "seqname", "group_quantile")}
+SELECT replicate, "group", seqname, "start", "end", score, replicate_quantile, group_quantile, CASE WHEN n > 1 THEN reproducibility END AS reproducibility, CASE WHEN n > 1 THEN reproducibility_percent END AS reproducibility_percent, seqname || ':' || "start" || '-' || "end" AS feature_id FROM g2""")
 def reproducible_peaks(spark, d):
     s = _summits(spark, d).select(F.col("group").alias("replicate"), F.when(F.col("group").isin("S0", "S1"), "A").otherwise("B").alias("group"), "seqname", "start", "end", "score")
     return pk.peak_set(s, "(n + 1) / 2", 250)
