@@ -98,11 +98,6 @@ def tf_idf(counts: DataFrame, method: int = 2, scale: float = 1e4, n_cells: int
     return joined.select("feature_id", "cell_id", value.alias("value"))
 
 
-def weighted_product(weights: DataFrame, counts: DataFrame, inner: str = "tile", row: str = "gene") -> DataFrame:
-    """(row, cell_id, value): sparse weights (row, inner, weight) times sparse counts (inner, cell_id, value)."""
-    return weights.join(counts, inner).groupBy(row, "cell_id").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
-
-
 def threshold_profile(counts: DataFrame, top: int | None = None) -> DataFrame:
     """(cell_id, threshold, n): features with at least that value, for thresholds from 1 up.
 
