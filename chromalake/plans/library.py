@@ -512,7 +512,7 @@ def louvain_clusters(spark, d):
 @query()
 def walktrap_clusters(spark, d):
     e = embeddings(spark, d).select("cell_id", "embedding")
-    return cl.cluster_embedding(spark, e, method="walktrap", k=10, cells_to_sample=300)
+    return cl.cluster_embedding(spark, e, method="walktrap", k=10)
 
 
 # --- pseudobulks and peaks ------------------------------------------------------------------------
@@ -682,14 +682,42 @@ def benjamini_hochberg(spark, d):
     return st.benjamini_hochberg(p, "p", "q", ["group"]).select("group", "p", r6(F.col("q"), "q"))
 
 
-@query()
+#: Cells of a sample and as many others, nearest by threshold profile: rank by rank, in hashed order of the sample's cells.
+_MATCHED = f"""fs AS (SELECT feature_id, sum(value) AS t FROM {COUNTS} GROUP BY 1), heavy AS (SELECT feature_id FROM fs WHERE t = (SELECT max(t) FROM fs)),
+top AS (SELECT max(s) + 5 AS top FROM (SELECT sum(value) AS s FROM {COUNTS} WHERE feature_id IN (SELECT feature_id FROM heavy) GROUP BY cell_id)),
+prof AS MATERIALIZED (SELECT c.cell_id, c.sample, i, count(k.value) AS n FROM {CELLS} c CROSS JOIN (SELECT unnest(range(1, top::BIGINT + 1)) AS i FROM top) LEFT JOIN {COUNTS} k ON k.cell_id = c.cell_id AND k.value >= i GROUP BY ALL),
+near AS (SELECT a.sample AS "group", a.cell_id AS q, b.cell_id AS r, row_number() OVER (PARTITION BY a.cell_id ORDER BY sum((a.n - b.n) * (a.n - b.n)), b.cell_id) AS rank FROM prof a JOIN prof b ON a.i = b.i AND a.sample <> b.sample GROUP BY a.sample, a.cell_id, b.cell_id),
+once AS (SELECT "group", r, rank, md5(q || ':1') AS h FROM near QUALIFY row_number() OVER (PARTITION BY "group", r ORDER BY rank, md5(q || ':1')) = 1),
+size AS (SELECT sample AS "group", least(count(*), (SELECT count(*) FROM {CELLS}) - count(*)) AS want FROM {CELLS} GROUP BY 1),
+m AS MATERIALIZED (SELECT sample AS "group", cell_id, true AS inside FROM {CELLS} UNION ALL
+  SELECT "group", r, false FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY rank, h, r) AS i FROM once) JOIN size USING ("group") WHERE i <= want)"""
+
+
+@query(f"WITH {_MATCHED} SELECT * FROM m")
+def matched_cells(spark, d):
+    g = cells(spark, d).select("cell_id", F.col("sample").alias("cluster"))
+    return mk.matched_cells(mk.depth_profiles(counts(spark, d), g), g)
+
+
+@query(f"""WITH {_MATCHED},
+v AS (SELECT "group", cell_id, inside, feature_id, coalesce(value, 0) AS value FROM m CROSS JOIN (SELECT DISTINCT feature_id FROM {COUNTS}) LEFT JOIN {COUNTS} USING (feature_id, cell_id)),
+r AS (SELECT *, rank() OVER (PARTITION BY "group", feature_id ORDER BY value) + (count(*) OVER (PARTITION BY "group", feature_id, value) - 1) / 2 AS rk, count(*) OVER (PARTITION BY "group", feature_id, value) t FROM v),
+a AS (SELECT "group", feature_id, sum(rk) FILTER (inside) rs, count(*) FILTER (inside)::DOUBLE n1, count(*) FILTER (NOT inside)::DOUBLE n2, sum(t::DOUBLE * t - 1) ties, coalesce(sum(value) FILTER (inside), 0) s1, coalesce(sum(value) FILTER (NOT inside), 0) s2 FROM r GROUP BY ALL HAVING sum(value) > 0),
+u AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) sg FROM a),
+z AS (SELECT *, greatest(abs(CASE WHEN sg > 0 THEN (u - n1 * n2 / 2 - sign(u - n1 * n2 / 2) * 0.5) / sg ELSE 0 END) / sqrt(2), 1e-12) AS x FROM u),
+p AS (SELECT *, greatest(0, 1 - 2 / sqrt(pi()) * exp(-x * x) * x * list_sum(list_transform(range(0, 300), lambda n: exp(n * ln(2 * x * x) - (n + 1) * ln(2) - lgamma(n + 1.5) + ln(pi()) / 2)))) AS pval FROM z),
+o AS (SELECT *, rank() OVER (PARTITION BY "group" ORDER BY pval) + count(*) OVER (PARTITION BY "group", pval) - 1 AS rk, count(*) OVER (PARTITION BY "group") AS total FROM p)
+SELECT "group", feature_id, round(log2((s1 + 1 + s2 + 1) / 2), 6) AS log2_mean, round(log2((s1 + 1) / (s2 + 1)), 6) AS log2_fc,
+  round(least(1.0, min(pval * total / rk) OVER (PARTITION BY "group" ORDER BY pval DESC, rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS fdr, round(pval, 6) AS pval,
+  round(s1 / n1, 6) AS mean1, round(s2 / n2, 6) AS mean2, n1::BIGINT AS n, round(u / (n1 * n2), 6) AS auc FROM o""")
 def marker_features(spark, d):
-    return mk.marker_features(counts(spark, d), cells(spark, d).select("cell_id", F.col("sample").alias("cluster")))
+    t = mk.marker_features(counts(spark, d), cells(spark, d).select("cell_id", F.col("sample").alias("cluster")))
+    return t.select("group", "feature_id", *[r6(F.col(c), c) for c in ("log2_mean", "log2_fc", "fdr", "pval", "mean1", "mean2")], "n", r6(F.col("auc"), "auc"))
 
 
 @query()
 def doublet_scores(spark, d):
-    return db.doublet_scores(spark, counts(spark, d), cells(spark, d).withColumn("sample", F.lit("all")), rank=8, num_features=1000, filter_quantile=1.0, iterations=1)
+    return db.doublet_scores(spark, counts(spark, d), cells(spark, d).withColumn("sample", F.lit("all")), rank=8, num_features=1000, filter_quantile=1.0)
 
 
 @query()

@@ -1,11 +1,14 @@
 """Composite operators: decompositions, clusters, integration, the study container."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from chromalake.functions import graph
 from chromalake.model import Experiment, Study, create_study
-from chromalake.operators import cluster as cl, integrate as ig, knn, lsi, matrix as mx
+from chromalake.operators import cluster as cl, integrate as ig, knn, lsi, markers as mk, matrix as mx
 from chromalake.streaming import sizes
 
 
@@ -51,17 +54,60 @@ def test_vote_ties(spark):
     assert knn.vote(n, lab, ties="first").first()["cluster"] == "C1"
 
 
-def test_knn_blocks(spark):
+@pytest.mark.parametrize("small", [0, knn.SMALL])
+def test_knn_blocks(spark, small):
     r = np.random.default_rng(5)
     x = r.normal(size=(60, 4))
     d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id int, embedding array<double>")
-    got = knn.exact_knn(d, d, 3, exclude_self=True, block=17).toPandas()
+    got = knn.exact_knn(d, d, 3, exclude_self=True, block=17, small=small).toPandas()
     dist = ((x[:, None] - x[None]) ** 2).sum(2)
     np.fill_diagonal(dist, np.inf)
     want = {(i, j) for i in range(60) for j in np.argsort(dist[i])[:3]}
     assert set(zip(got["query_id"], got["ref_id"], strict=True)) == want
 
 
+@pytest.mark.parametrize("small", [0, knn.SMALL])
+def test_knn_apart(spark, small):
+    x = [0.0, 1.0, 2.0, 3.0, 10.0, 11.0]
+    d = spark.createDataFrame([(i, [v], "ab"[i % 2]) for i, v in enumerate(x)], "cell_id int, embedding array<double>, side string")
+    got = knn.exact_knn(d, d, 9, apart="side", block=2, small=small).toPandas()
+    want = {i: sorted((j for j in range(6) if (i - j) % 2), key=lambda j: (abs(x[i] - x[j]), j)) for i in range(6)}  # noqa: B023
+    assert {i: g.sort_values("rank")["ref_id"].tolist() for i, g in got.groupby("query_id")} == want
+
+
+@pytest.mark.parametrize("k", [1, 16])
+def test_matched_cells(spark, k):
+    """Nearest of all members first, in hashed order, then the second nearest; asked again while too few."""
+    r = np.random.default_rng(4)
+    n = 40
+    x, side = r.integers(0, 9, (n, 2)).astype(float), np.array(["a" if i < 25 else "b" if i < 39 else "c" for i in range(n)])
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell_id int, embedding array<double>")
+    g = spark.createDataFrame([(i, str(s)) for i, s in enumerate(side)] + [(99, None)], "cell_id int, cluster string")
+    got = mk.matched_cells(p, g, k=k).toPandas()
+    for name in "abc":
+        ins, outs = np.flatnonzero(side == name), np.flatnonzero(side != name)
+        turn = sorted(ins, key=lambda i: hashlib.md5(f"{i}:1".encode()).hexdigest())
+        near = [sorted(outs, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j)) for i in turn]  # noqa: B023
+        want = list(dict.fromkeys(c for rank in zip(*near, strict=True) for c in rank))[: min(len(ins), len(outs))]
+        mine = got[got["group"] == name]
+        assert set(mine[mine["inside"]]["cell_id"]) == set(ins)
+        assert sorted(mine[~mine["inside"]]["cell_id"]) == sorted(want)
+
+
+def test_walks_and_cut():
+    r = np.random.default_rng(6)
+    edges = {(i, j): 1.0 for i in range(30) for j in range(i + 1, 30) if r.random() < (0.8 if i // 10 == j // 10 else 0.04)}
+    a = np.zeros((30, 30))
+    for (i, j), w in edges.items():
+        a[i, j] = a[j, i] = w
+    a[np.diag_indices(30)] = a.sum(1) / np.maximum((a > 0).sum(1), 1)
+    d = a.sum(1)
+    want = np.linalg.matrix_power(a / d[:, None], 4) / np.sqrt(d)
+    assert np.allclose(graph._walks(graph._adjacency(30, edges), 4, block=7), want)
+    assert graph.walktrap(30, edges).tolist() == [i // 10 for i in range(30)]
+    assert graph.walktrap(3, {}).tolist() == [0, 1, 2]
+
+
 def test_integration(spark, blobs):
     counts, cells = blobs
     rna = counts.withColumn("cell_id", F.concat(F.lit("r"), "cell_id"))

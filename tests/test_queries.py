@@ -5,7 +5,7 @@ from tests.conftest import duck, same_rows
 
 from chromalake import catalog
 
-SLOW = {"iterative_lsi", "marker_features", "doublet_scores", "louvain_clusters", "walktrap_clusters", "truncated_svd", "gene_integration"}
+SLOW = {"iterative_lsi", "doublet_scores", "louvain_clusters", "walktrap_clusters", "truncated_svd", "gene_integration"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
