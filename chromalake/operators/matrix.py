@@ -110,16 +110,23 @@ def threshold_profile(counts: DataFrame, top: int | None = None) -> DataFrame:
     return stepped.select("cell_id", F.explode(F.sequence(F.col("_below") + 1, F.col("_v"))).alias("threshold"), "n")
 
 
-def dedupe_features(counts: DataFrame, features: DataFrame, name: str = "name", stat=F.sum, best: str = "max") -> DataFrame:
+def dedupe_features(counts: DataFrame, features: DataFrame, name: str = "name", stat=F.sum, best="max") -> DataFrame:
     """Features with one row per name: the one whose statistic is best, the first of equals.
 
     Rows without a name all stay.  ``features``: (feature_id, name, …); ``stat`` is an
-    aggregate of ``value`` (a Column function or a grouped-aggregate pandas UDF).
+    aggregate of ``value`` (a Column function or a grouped-aggregate pandas UDF).  ``best`` is
+    max, min or an aggregate of the statistics of a name: the first row that equals it stays.  A
+    repeated name none of whose rows equals it (a mean, say) is left out.
     """
     scores = counts.groupBy("feature_id").agg(stat("value").alias("_stat"))
-    order = F.col("_stat").desc() if best == "max" else F.col("_stat").asc()
     ranked = features.join(scores, "feature_id", "left").na.fill(0, ["_stat"])
-    named = ranked.where(F.col(name).isNotNull()).withColumn("_rn", F.row_number().over(W.partitionBy(name).orderBy(order, "feature_id"))).where("_rn = 1").drop("_rn")
+    named = ranked.where(F.col(name).isNotNull())
+    order = [F.col("_stat").desc() if best == "max" else F.col("_stat").asc()]
+    if callable(best):
+        order = []
+        picked = named.groupBy(name).agg(best("_stat").alias("_best"), F.count(F.lit(1)).alias("_rows"))
+        named = named.join(picked, name).where("_stat = _best or _rows = 1").drop("_best", "_rows")
+    named = named.withColumn("_rn", F.row_number().over(W.partitionBy(name).orderBy(*order, "feature_id"))).where("_rn = 1").drop("_rn")
     return named.unionByName(ranked.where(F.col(name).isNull())).drop("_stat")
 
 

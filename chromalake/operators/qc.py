@@ -29,6 +29,23 @@ def density(cells: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     return cells.groupBy(at(x, r["x0"], r["x1"]).alias("bx"), at(y, r["y0"], r["y1"]).alias("by")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def neighbour_density(cells: DataFrame, x: str, y: str, radius: float) -> DataFrame:
+    """(cell_id, neighbours): other cells within a radius of each cell that has both coordinates.
+
+    Equal points are counted once; points meet only those of their own and the eight adjoining
+    squares of a grid as wide as the radius, so the radius bounds the work.
+    """
+    at = cells.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select("cell_id", F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    points = at.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    square = lambda c: F.floor(F.col(c) / radius)
+    near = points.select(F.col("_x").alias("_px"), F.col("_y").alias("_py"), "_n", square("_x").alias("_bx"), square("_y").alias("_by"))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    asked = points.select("_x", "_y", F.explode(around).alias("_o")).select("_x", "_y", (square("_x") + F.col("_o.i")).alias("_bx"), (square("_y") + F.col("_o.j")).alias("_by"))
+    dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
+    found = asked.join(near, ["_bx", "_by"]).where(dx * dx + dy * dy <= radius * radius).groupBy("_x", "_y").agg((F.sum("_n") - 1).alias("neighbours"))
+    return at.join(found, ["_x", "_y"]).select("cell_id", "neighbours")
+
+
 def size_distribution(fragments: DataFrame, sample: str | None = None, upto: int = 700) -> DataFrame:
     return fragment_sizes(fragments if sample is None else fragments.where(F.col("sample") == sample), upto=upto)
 

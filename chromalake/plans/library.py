@@ -314,6 +314,14 @@ def dedupe_features(spark, d):
     return mx.dedupe_features(counts(spark, d), f)
 
 
+@query(f"""WITH s AS (SELECT p_partkey, p_name, coalesce(t, 0) AS t FROM part LEFT JOIN (SELECT feature_id, sum(value) AS t FROM {COUNTS} GROUP BY 1) ON feature_id = p_partkey),
+m AS (SELECT p_name, median(t) AS m, count(*) AS c FROM s GROUP BY 1)
+SELECT p_partkey AS feature_id, p_name AS name FROM s JOIN m USING (p_name) WHERE t = m OR c = 1 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1""")
+def dedupe_features_metric(spark, d):
+    f = table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_name").alias("name"))
+    return mx.dedupe_features(counts(spark, d), f, best=F.median)
+
+
 @query("""SELECT vec_id AS cell_id, i - 1 AS dim, round((v - m) / s, 6) AS value FROM (SELECT vec_id, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1)::INT i, list_avg(embedding::DOUBLE[]) m, list_stddev_samp(embedding::DOUBLE[]) s FROM embeddings)""")
 def zscores(spark, d):
     e = mx.zscore(embeddings(spark, d))
@@ -407,6 +415,11 @@ def enrichment_vs_depth(spark, d):
     return qc.enrichment_vs_depth(c, "ASIA", 1000, 550, 2.75).select("cell_id", r6(F.col("log10_fragments"), "log10_fragments"), "tss_enrichment", "passes")
 
 
+@query(f"""SELECT a.cell_id, count(*) - 1 AS neighbours FROM {CELLS} a JOIN {CELLS} b ON (a.fragments - b.fragments) * (a.fragments - b.fragments) + (a.balance - b.balance) * (a.balance - b.balance) <= 250000 GROUP BY 1""")
+def neighbour_density(spark, d):
+    return qc.neighbour_density(cells(spark, d), "fragments", "balance", 500)
+
+
 @query(f"""WITH f AS (SELECT "end" - "start" AS size FROM {FRAGMENTS} WHERE sample = 'S1' AND "end" - "start" BETWEEN 1 AND 5500)
 SELECT s.size, coalesce(n, 0)::BIGINT n, round(coalesce(n, 0) * 100.0::DOUBLE / (SELECT count(*) FROM f), 6) percent FROM (SELECT unnest(range(1, 701)) size) s LEFT JOIN (SELECT size, count(*) n FROM f GROUP BY 1) USING (size)""")
 def size_distribution_plot(spark, d):
