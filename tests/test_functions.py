@@ -178,6 +178,16 @@ def test_combine_and_scores(spark):
     assert got["x"]["doublet_score"] == pytest.approx(-math.log10(min(1, 3 * math.exp(st.log_binomial_tail(15, 15, 1e-4)))), rel=1e-6)
 
 
+def test_filter_doublets(spark):
+    # ten cells a sample, of which two may go: the strongest, by name where they tie, and none below ``least``
+    cells = [(f"a{i}", "a", e) for i, e in enumerate([9.0, 5.0, 5.0, 5.0, 0.5, 0.0, None, None, 1.0, 2.0])]
+    cells += [(f"b{i}", "b", e) for i, e in enumerate([3.0, *[0.5] * 8, None])] + [("c0", "c", 9.0)]
+    d = spark.createDataFrame(cells, "cell_id string, sample string, doublet_enrichment double")
+    got = db.filter_doublets(d, 1.0, 0.02)
+    assert got.columns == d.columns
+    assert {c for c, *_ in cells} - {r["cell_id"] for r in got.collect()} == {"a0", "a1", "b0"}
+
+
 def test_greedy_peaks(spark):
     d = spark.createDataFrame([("c", 1, 10, 5.0), ("c", 8, 17, 9.0), ("c", 16, 25, 7.0), ("c", 100, 109, 1.0)], "seqname string, start long, end long, score double")
     assert rows(pk.remove_overlaps(d, "score", ["seqname"]), "start") == [(8,), (100,)]
