@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
 from chromalake.llm.components import connected_components, hub_size, join_counted, merge_components
-from chromalake.runtime import materialize, release, ship_package
+from chromalake.runtime import lean, materialize, release, ship_package, small_batches
 
 BANDS, ROWS = 28, 5  # a pair at similarity 0.8 is missed once in 67,000
 MINIMA = BANDS * ROWS
@@ -92,6 +92,7 @@ def set_digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _sign_batches(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients()
         for batch in batches:
@@ -125,6 +126,7 @@ def _sign_batches(width: int):
 
 
 def _set_batches(width: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in tk.slices(batch.column(1)):
@@ -192,6 +194,7 @@ def _link_batches(percent: int):
             g.join(i, j)
         return [(nodes[i], nodes[g.find(i)]) for i in range(len(nodes)) if g.find(i) != i]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets, seen = None, [], [], set()
         for batch in batches:
@@ -237,6 +240,7 @@ def _alike_batches(least: int):
         own = nodes.tolist()
         return [(own[i], own[g.find(i)]) for i in range(len(own)) if g.find(i) != i]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in itertools.chain(batches, [None]):
@@ -311,6 +315,7 @@ def _confirm(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; see the module's text."""
     ship_package(spark)
+    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(spark, base.mapInArrow(_sign_batches(width), "doc_id long, n_shingles long, d0 long, d1 long, sig array<int>"), "minhash-signed")
 

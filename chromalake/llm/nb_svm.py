@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
-from chromalake.runtime import ship_package
+from chromalake.runtime import lean, ship_package, small_batches
 
 DIM = 1 << 16
 MAX_TRAIN = 8000
@@ -178,6 +178,7 @@ def is_held_out(doc_id) -> object:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5) == 0
 
 
+@lean
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, buf, off in tk.slices(batch.column(1)):
@@ -188,6 +189,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: str = "doc_id", text: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """Fits on at most ``max_train`` labelled rows that are not held out."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     picked = (
         labels.select(F.col(doc_id).alias("_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("_id").isNotNull() & ~is_held_out(F.col("_id")))
         .groupBy("_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
@@ -206,7 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", doc_id: s
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in tk.slices(batch.column(1)):
@@ -218,8 +222,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 def keep_good(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
     """The documents that score ``cut`` or more, all columns."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in tk.slices(batch.column(at)):

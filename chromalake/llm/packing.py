@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
 from chromalake.llm.tokens import encoder
-from chromalake.runtime import ship_package
+from chromalake.runtime import lean, ship_package, small_batches
 
 CAPACITY, END_ID = 2048, 1
 
@@ -170,7 +170,9 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece: its place in its document and in its sequence; ``with_ids`` adds the ids."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, enc = Packer(TaskContext.get().partitionId(), capacity, with_ids), encoder(tokenizer)
         for batch in batches:
@@ -179,6 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 for d, doc in enumerate(batch.column(0).slice(i, j - i).to_pylist()):
                     packer.add(doc, np.append(ids[bounds[d] : bounds[d + 1]], np.uint32(end_id)))
                 yield packer.batch()
+        enc.forget()
         packer.finish()
         yield packer.batch()
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chromalake.llm import textkernel as tk
-from chromalake.runtime import ship_package
+from chromalake.runtime import lean, ship_package, small_batches
 
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
 MAX_LOST, SHORT, DOUBLED, SEPARATORS, SYMBOLS, LONG = 50, 4, 30, 25, 30, 20
@@ -191,8 +191,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def clean(docs: DataFrame, text: str = "text", strip: bool = True) -> DataFrame:
     """The documents that are kept, all columns; with ``strip`` without their failed lines."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in tk.slices(batch.column(at)):

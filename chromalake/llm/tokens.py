@@ -4,9 +4,9 @@ Ids are those of the ``tokenizers`` library for a byte-level BPE file whose pre-
 splits ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+``.
 No token crosses a pre-token border, and a single space or line break between two
 characters that are no white space always starts a pre-token there.  So a text falls into
-chunks at these places, each distinct chunk is encoded by the library once per worker, and
+chunks at these places, each distinct chunk is encoded by the library once per task, and
 a text's ids are its chunks' ids in order.  Texts with white space beyond ASCII are encoded
-whole.  The cache is bounded by CACHE_IDS ids and is dropped when full.
+whole.  The cache is bounded by CACHE_IDS ids and is dropped when full and at the end of a task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -53,14 +53,20 @@ def merge_ranks(path: str):
 
 class ChunkEncoder:
     def __init__(self, path: str):
+        self.path = path
+        self.ranks, self.special = merge_ranks(path)
+        self.forget()
+
+    @cached_property
+    def lib(self):
+        """The library's tokenizer, loaded when a text needs it."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.ranks, self.special = merge_ranks(path)
-        self._clear()
+        return Tokenizer.from_file(self.path)
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Drops the cache."""
         self.keys = np.zeros(0, np.uint64)  # sorted chunk hashes
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -82,9 +88,10 @@ class ChunkEncoder:
         size = np.array([len(x) for x in new], np.int64)
         at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.uint32, int(size.sum()))])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.at, self.size = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        into = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, into, keys)  # one column at a time, as the cache is large
+        self.at = np.insert(self.at, into, at)
+        self.size = np.insert(self.size, into, size)
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, bounds)."""
@@ -105,7 +112,7 @@ class ChunkEncoder:
         first = np.searchsorted(start, off)
         keys = tk.span_hash(buf, start, end, 23)
         if len(self.ids) > CACHE_IDS:
-            self._clear()
+            self.forget()
         plain = ~np.repeat(odd, np.diff(first))
         uniq, where = np.unique(keys[plain], return_index=True)
         known = np.searchsorted(self.keys, uniq)

@@ -1,8 +1,12 @@
 """Quality rules, classifier, packing and pieces against brute force and the libraries."""
 
+import ctypes
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -248,3 +252,52 @@ def test_pieces_on_frames(spark, data):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(rows, path).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}
     assert all(r["round_trip"] for r in rows.collect()) and pieces.encode(d.limit(0), path).count() == 0
+
+
+HELD = """
+import ctypes, gc, io, re
+import numpy as np, pyarrow as pa
+from chromalake.llm import minhash, nb_svm
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def stream(n):
+    r, out = np.random.default_rng(n), io.BytesIO()
+    words = np.array([f"w{i}" for i in range(20000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array([" ".join(words[r.integers(0, 20000, 300)]) for _ in range(n)])], ["id", "text"])
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        for _ in range(3):
+            w.write_batch(batch)
+    return out.getvalue()
+
+runs = [minhash._sign_batches(5), nb_svm._feature_batches]
+raw, small = stream(10000), stream(10)
+for run in runs:  # what is loaded at first use
+    list(run(iter(pa.ipc.open_stream(io.BytesIO(small)))))
+for run in runs:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    before = held()
+    print(sum(b.num_rows for b in run(iter(pa.ipc.open_stream(io.BytesIO(raw))))), round(held() - before))
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists() or not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="reads Linux's figures; only glibc gives memory back")
+def test_workers_keep_no_free_memory():
+    out = subprocess.run([sys.executable, "-c", HELD], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True, timeout=120).stdout
+    got = [tuple(map(int, x.split())) for x in out.splitlines()]
+    assert [n for n, _ in got] == [30000, 30000]
+    assert max(mb for _, mb in got) < 20, got
+
+
+def test_cache_of_chunks_grows_in_order():
+    lib, rng = tokens.ChunkEncoder(PATH).lib, np.random.default_rng(4)
+    mine = tokens.ChunkEncoder(PATH)
+    for _ in range(5):
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 30)) for _ in range(20)]
+        assert ids_of(mine, texts) == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert (np.diff(mine.keys.astype(object)) > 0).all() and len(mine.keys) == len(mine.at) == len(mine.size)
+    assert int(mine.size.sum()) == len(mine.ids)
+    assert "lib" not in vars(mine)  # no text needed the library
