@@ -2,10 +2,13 @@
 
 import hashlib
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from tests.conftest import duck, same_rows
 
 from chromalake.llm import licenses, registry, sharding, url_filter
@@ -46,6 +49,29 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_each_line_is_brought_into_form_once(spark):
+    plan = licenses.scan_licenses(docs(spark, TEXTS))._jdf.queryExecution().executedPlan().toString()
+    # two patterns a line, on the side of the texts and of the known ones, and no union of ranges
+    assert max(x.count("regexp_replace(") for x in plan.splitlines()) == 2 and "a-zA-Z0-9" not in plan
+
+
+def test_canonical_lines_by_plain_python(spark):
+    def form(line):
+        x = " " + re.sub("[^a-zA-Z0-9]+", " ", re.sub(r"\([cC]\)", " ", line)).lower().strip(" ") + " "
+        if x == " all rights reserved " or x.startswith((" copyright ", " copr ")) or re.match("[^a-zA-Z0-9(]*(\\([cC]\\)|\u00a9)", line):
+            return ""
+        for other, one in licenses.SPELLINGS:
+            x = x.replace(f" {other} ", f" {one} ")
+        return x.strip(" ")
+
+    parts = ["(c)", "(C)", "((c)", "\u00a9", "(", " ", "\t", "\r", "\n", "_", "-", "é", "İ", "ſ", "中", "😀", "٣", "Copyright", "copr", "All rights", " reserved", "LICENCE", " v ", "v v", "sub licence", "sub license", "per  cent", "a", "Z9"]
+    draw = random.Random(1)
+    rows = [(i, "".join(draw.choices(parts, k=draw.randrange(1, 12)))) for i in range(3000)] + [(3000, "中" * 100_000 + "(c)\n" + "(" * 100_000 + "\n" + "!a" * 50_000)]
+    forms = {i: [f for f in map(form, t.split("\n")) if f] for i, t in rows}
+    got = docs(spark, rows).select("doc_id", licenses.canonical_lines(F.col("text")).alias("f")).collect()
+    assert {r["doc_id"]: r["f"] for r in got} == forms
+
+
 def test_url_parts_and_rules(spark):
     cases = [
         ("https://a.Example.NET/en/1?x#y", ("a.example.net", "/en/1", "example.net/en/", "allow")),
