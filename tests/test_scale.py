@@ -39,3 +39,20 @@ def test_gene_scores_shuffle_no_products(spark, dense):
     assert a.keys() == b.keys() and np.allclose([a[k] for k in b], list(b.values()))
     single = genes.where("name not in ('k3', 'wide')")
     assert "hashpartitioning(l_gene" not in plan(sc.gene_scores(t, single, tiles, extend=(1000, 1000), upstream=500))
+
+
+def test_tss_enrichment_makes_no_hits(spark, dense):
+    """Against the hits of all windows, one by one; sequences end where given."""
+    genes, frags, _, rows = dense
+    lengths = spark.createDataFrame([("a", 8000)], "seqname string, length long")
+    for known in (None, lengths):
+        mid, out = sc.tss_windows(genes, known)
+        windows = [(k, r["seqname"], r["start"], r["end"]) for k, df in (("w", mid), ("f", out)) for r in df.collect()]
+        want = {}
+        for s, q, a, b, cell in rows:
+            n = want.setdefault(f"{s}#{cell}", {"w": 0, "f": 0})
+            for k, seq, lo, hi in windows:
+                n[k] += seq == q and (lo <= a + 1 <= hi or lo <= b <= hi)
+        got = sc.tss_enrichment(frags, genes, known)
+        assert {r["cell_id"]: r["tss_enrichment"] for r in got.collect()} == pytest.approx({c: 2 * (n["w"] / 101) / max(n["f"] / 100, 0.2) for c, n in want.items()}, abs=6e-4)
+        assert "FlatMapCoGroups" in plan(got) and "region" not in plan(got)
