@@ -56,3 +56,15 @@ def test_tss_enrichment_makes_no_hits(spark, dense):
         got = sc.tss_enrichment(frags, genes, known)
         assert {r["cell_id"]: r["tss_enrichment"] for r in got.collect()} == pytest.approx({c: 2 * (n["w"] / 101) / max(n["f"] / 100, 0.2) for c, n in want.items()}, abs=6e-4)
         assert "FlatMapCoGroups" in plan(got) and "region" not in plan(got)
+
+
+def test_region_counts_shuffle_no_hits(spark, dense):
+    genes, frags, rows, fr = dense
+    got = ct.region_counts(frags, genes.withColumnRenamed("name", "feature_id"))
+    want = {}
+    for name, q, lo, hi, _ in rows:
+        for s, chrom, a, b, cell in fr:
+            if chrom == q and (lo <= a + 1 <= hi or lo <= b <= hi):
+                want[name, f"{s}#{cell}"] = want.get((name, f"{s}#{cell}"), 0) + 1
+    assert {(r["feature_id"], r["cell_id"]): r["value"] for r in got.collect()} == want
+    assert "hashpartitioning(l_feature_id" not in plan(ct.region_counts(frags, genes.where("name not in ('k3', 'wide')").withColumnRenamed("name", "feature_id"))).split("Window")[0]
