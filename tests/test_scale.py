@@ -68,3 +68,13 @@ def test_region_counts_shuffle_no_hits(spark, dense):
                 want[name, f"{s}#{cell}"] = want.get((name, f"{s}#{cell}"), 0) + 1
     assert {(r["feature_id"], r["cell_id"]): r["value"] for r in got.collect()} == want
     assert "hashpartitioning(l_feature_id" not in plan(ct.region_counts(frags, genes.where("name not in ('k3', 'wide')").withColumnRenamed("name", "feature_id"))).split("Window")[0]
+
+
+def test_bins_and_tasks_follow_the_expected_pairs(spark):
+    rows = [(f"k{i}", "a", 1 + i % 5000, 60 + i % 5000, "+") for i in range(60_000)]
+    d = spark.createDataFrame(rows, f"k string, {RANGE}")
+    size, tasks = iv._layout(d, d)
+    assert size == 128 and tasks > 8
+    assert "REPARTITION_BY_NUM" in plan(iv.overlap_join(d, d))
+    sparse = d.where("start <= 3").withColumn("seqname", F.lit("b"))
+    assert iv._layout(sparse, d) == (1 << 14, 1)
