@@ -78,3 +78,18 @@ def test_bins_and_tasks_follow_the_expected_pairs(spark):
     assert "REPARTITION_BY_NUM" in plan(iv.overlap_join(d, d))
     sparse = d.where("start <= 3").withColumn("seqname", F.lit("b"))
     assert iv._layout(sparse, d) == (1 << 14, 1)
+
+
+@pytest.mark.parametrize("gap", [0, 30])
+@pytest.mark.parametrize("strandless", [True, False])
+def test_overlaps_any_makes_no_pairs(spark, gap, strandless):
+    rng = random.Random(2)
+    a, b = intervals(rng, 80, 60_000, (-20, 0, 30, 40_000)), intervals(rng, 40, 60_000, (-1, 0, 200))
+    got = iv.overlaps_any(spark.createDataFrame(a, f"name string, {RANGE}"), spark.createDataFrame(b, f"name string, {RANGE}"), "name", "hit", ignore_strand=strandless, max_gap=gap)
+
+    def meets(x, y):
+        fits = strandless or x[4] == y[4] or "*" in (x[4], y[4])
+        return fits and x[1] == y[1] and x[2] - gap <= x[3] + gap and y[2] <= y[3] and x[2] - gap <= y[3] and y[2] <= x[3] + gap
+
+    assert {r["name"]: r["hit"] for r in got.collect()} == {x[0]: any(meets(x, y) for y in b) for x in a}
+    assert "r_start" not in plan(got)
