@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromalake.operators import counting as ct, intervals as iv, scores as sc
+from chromalake.operators import counting as ct, intervals as iv, knn, scores as sc
 
 
 def plan(df):
@@ -93,3 +93,16 @@ def test_overlaps_any_makes_no_pairs(spark, gap, strandless):
 
     assert {r["name"]: r["hit"] for r in got.collect()} == {x[0]: any(meets(x, y) for y in b) for x in a}
     assert "r_start" not in plan(got)
+
+
+def test_more_ties_than_slack_go_by_id():
+    """Hundreds of references at one distance: the smallest ids are neighbours, of whole numbers or not."""
+    r = np.random.default_rng(2)
+    for scale in (1.0, 0.1):
+        y = r.integers(0, 3, (900, 3)) * scale
+        x, ids = y[:50], np.arange(900)
+        got = knn._nearest(x, ids[:50], ids[:50] % 2, y, ids, ids % 2, 5)
+        d2 = ((x[:, None] - y[None]) ** 2).sum(2)
+        for q, g in got.groupby("query_id"):
+            want = sorted((j for j in ids if (j - q) % 2), key=lambda j: (d2[q, j], j))[:5]  # noqa: B023
+            assert g.sort_values("rank")["ref_id"].tolist() == want
