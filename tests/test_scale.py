@@ -106,3 +106,16 @@ def test_more_ties_than_slack_go_by_id():
         for q, g in got.groupby("query_id"):
             want = sorted((j for j in ids if (j - q) % 2), key=lambda j: (d2[q, j], j))[:5]  # noqa: B023
             assert g.sort_values("rank")["ref_id"].tolist() == want
+
+
+def test_blocks_stay_few_and_distances_small(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 4)
+    d = spark.createDataFrame([(i, [float(i * i % 101), float(i % 7)]) for i in range(400)], "cell_id int, embedding array<double>")
+    got = knn.exact_knn(d, d, 3, exclude_self=True, small=0)
+    assert knn.parts(400, 2) == knn.parts(40_000, 64) == knn.parts(600_000, 64) == 16 and knn.parts(3, 64) == 1
+    assert set(map(tuple, got.select("query_id", "ref_id", "rank").collect())) == set(map(tuple, knn.exact_knn(d, d, 3, exclude_self=True).select("query_id", "ref_id", "rank").collect()))
+    seen = []
+    monkeypatch.setattr(np, "argpartition", lambda a, n, axis: seen.append(a.size) or np.argsort(a, axis=axis))
+    y = np.random.default_rng(1).normal(size=(100_000, 2))
+    knn._nearest(y[:100], np.arange(100), None, y, np.arange(len(y)), None, 2)
+    assert max(seen) <= 1 << 22
