@@ -1,9 +1,10 @@
 """Iterative latent semantic indexing.
 
-The truncated decomposition works on the feature side: a block power iteration keeps
-features x (rank + extra) numbers on the driver, bounded by the number of selected features,
-while cells stay distributed.  Embeddings are products of a cell's weights with the left
-factors, for training and projected cells alike.
+The truncated decomposition is a block power iteration that keeps one side x (rank + extra)
+numbers on the driver while the other side stays distributed.  That is the feature side, bounded by
+the number of selected features, unless these are very many and the cells are fewer; then it
+is the cell side and the left factors are a table.  Embeddings are products of a cell's weights
+with the left factors, for training and projected cells alike.
 """
 
 from __future__ import annotations
@@ -46,12 +47,16 @@ def depth_outliers(counts: DataFrame, quantiles: tuple[float, float] = (0.02, 0.
     return sums.withColumn("outlier", (F.col("col_sum") <= lim[0]) | (F.col("col_sum") >= lim[1]))
 
 
+#: Left factors of at most this many numbers (8 MB) are always held by the driver.
+SMALL = 1 << 20
+
+
 @dataclass
 class LsiModel:
     """Left factors by feature, singular values and what a projection needs."""
 
     features: DataFrame  # feature_id, fidx, row_sum
-    u: np.ndarray
+    u: np.ndarray | DataFrame  # by fidx, or a table (feature_id, u array<double>)
     d: np.ndarray
     n_cells: int
     method: int
@@ -59,11 +64,14 @@ class LsiModel:
     params: dict = field(default_factory=dict)
 
 
-def _vectors(values: DataFrame, features: DataFrame) -> DataFrame:
-    """(cell_id, at array<int>, w array<double>): one sparse row per cell."""
+def _vectors(values: DataFrame, numbers: DataFrame, row: str = "cell_id", column: str = "feature_id") -> DataFrame:
+    """(row, at array<int>, w array<double>): one sparse row per cell, or per ``row``.
+
+    ``numbers``: (column, fidx).
+    """
     pairs = F.sort_array(F.collect_list(F.struct("fidx", "value")))
-    return values.join(features.select("feature_id", "fidx"), "feature_id").groupBy("cell_id").agg(pairs.alias("_p")).select(
-        "cell_id", F.col("_p.fidx").alias("at"), F.col("_p.value").alias("w"))
+    return values.join(numbers.select(column, "fidx"), column).groupBy(row).agg(pairs.alias("_p")).select(
+        row, F.col("_p.fidx").alias("at"), F.col("_p.value").alias("w"))
 
 
 def _local(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +102,10 @@ def svd(vectors: DataFrame, n_features: int, rank: int, seed: int = 1, extra: in
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_features, width)))[0]
 
     def step(q: np.ndarray) -> np.ndarray:
+        sent = vectors.sparkSession.sparkContext.broadcast(q)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
             total = np.zeros_like(q)
             for b in batches:
                 if b.num_rows:
@@ -114,6 +125,7 @@ def svd(vectors: DataFrame, n_features: int, rank: int, seed: int = 1, extra: in
         parts = vectors.select("at", "w").mapInArrow(run, "fidx int, z array<double>")
         summed = parts.groupBy("fidx").agg(*[F.sum(F.element_at("z", i + 1)).alias(f"z{i}") for i in range(q.shape[1])])
         got = summed.toArrow()  # n_features rows at most
+        sent.destroy()
         out = np.zeros_like(q)
         out[got["fidx"].to_numpy()] = np.stack([got[f"z{i}"].to_numpy() for i in range(q.shape[1])], 1)
         return out
@@ -133,20 +145,33 @@ def svd(vectors: DataFrame, n_features: int, rank: int, seed: int = 1, extra: in
     return u * np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])]), d
 
 
-def project(vectors: DataFrame, u: np.ndarray) -> DataFrame:
-    """(cell_id, embedding): each cell's weights times the left factors; NaN becomes 0."""
+def project(vectors: DataFrame, u: np.ndarray, row: str = "cell_id") -> DataFrame:
+    """(row, embedding): each cell's (or ``row``'s) weights times the factors; NaN becomes 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 e = np.nan_to_num(_times(b, u))
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(e.ravel()), u.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column("cell_id"), flat], ["cell_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([b.column(row), flat], [row, "embedding"])
+
+    return vectors.mapInArrow(run, f"{row} {vectors.schema[row].dataType.simpleString()}, embedding array<double>")
+
 
-    return vectors.mapInArrow(run, "cell_id string, embedding array<double>")
+def _svd_by_cells(spark, weights: DataFrame, n_cells: int, rank: int, seed: int, extra: int) -> tuple[DataFrame, np.ndarray]:
+    """(u, d) as by ``svd``, iterated on the cells: u is a table (feature_id, u), made by the right factors."""
+    cells = numbered(weights.select("cell_id").distinct(), "cell_id", "fidx").withColumn("fidx", F.col("fidx").cast("int"))
+    cells = materialize(spark, cells, "lsi-cells")
+    vectors = materialize(spark, _vectors(weights, cells, "feature_id", "cell_id"), "lsi-vectors")
+    v, d = svd(vectors, n_cells, rank, seed, extra)
+    table = materialize(spark, project(vectors, v / d, "feature_id"), "lsi-factors")
+    entry = [F.element_at("embedding", i + 1) for i in range(len(d))]
+    top = table.agg(*[F.max(F.struct(F.abs(e).alias("a"), e.alias("x"))).alias(f"t{i}") for i, e in enumerate(entry)]).first()
+    sign = [-1.0 if top[f"t{i}"]["x"] < 0 else 1.0 for i in range(len(d))]
+    return table.select("feature_id", F.array(*[e * s for e, s in zip(entry, sign, strict=True)]).alias("u")), d
 
 
-def fit_lsi(spark, counts: DataFrame, rank: int, method: int = 2, scale: float = 1e4, seed: int = 1, outlier_quantiles: tuple[float, float] | None = (0.02, 0.98), sampled: DataFrame | None = None) -> tuple[DataFrame, LsiModel]:
+def fit_lsi(spark, counts: DataFrame, rank: int, method: int = 2, scale: float = 1e4, seed: int = 1, outlier_quantiles: tuple[float, float] | None = (0.02, 0.98), sampled: DataFrame | None = None, small: int = SMALL, extra: int = 10) -> tuple[DataFrame, LsiModel]:
     """Trains on sampled cells inside the depth quantiles and embeds every cell of ``counts``."""
     ship_package(spark)
     use = mx.subset(counts, sampled, "cell_id") if sampled is not None else counts
@@ -159,8 +184,12 @@ def fit_lsi(spark, counts: DataFrame, rank: int, method: int = 2, scale: float =
     features = materialize(spark, numbered(mx.row_sums(use).where("row_sum > 0"), "feature_id", "fidx").withColumn("fidx", F.col("fidx").cast("int")), "lsi-features")
     n_features, n_cells = features.count(), use.select("cell_id").distinct().count()
     weights = mx.tf_idf(use, method, scale, n_cells, features.select("feature_id", "row_sum"))
-    train = materialize(spark, _vectors(weights, features), "lsi-vectors")
-    u, d = svd(train, n_features, min(rank, n_features, n_cells), seed)
+    used = min(rank, n_features, n_cells)
+    if n_features * (used + extra) > small and n_cells < n_features:
+        u, d = _svd_by_cells(spark, weights, n_cells, used, seed, extra)
+    else:
+        train = materialize(spark, _vectors(weights, features), "lsi-vectors")
+        u, d = svd(train, n_features, used, seed, extra)
     model = LsiModel(features, u, d, n_cells, method, scale, {"seed": seed, "rank": rank, "outliers": outlier_quantiles})
     return project_cells(counts, model), model
 
@@ -168,9 +197,12 @@ def fit_lsi(spark, counts: DataFrame, rank: int, method: int = 2, scale: float =
 def project_cells(counts: DataFrame, model: LsiModel) -> DataFrame:
     """Embeds any cells with the training row sums and number of cells."""
     ship_package(counts.sparkSession)
-    known = counts.join(F.broadcast(model.features.select("feature_id")), "feature_id", "left_semi")
+    known = mx.subset(counts, model.features)
     weights = mx.tf_idf(known, model.method, model.scale, model.n_cells, model.features.select("feature_id", "row_sum"))
-    return project(_vectors(weights, model.features), model.u)
+    if isinstance(model.u, np.ndarray):
+        return project(_vectors(weights, model.features), model.u)
+    part = weights.join(model.u, "feature_id").groupBy("cell_id").agg(*[F.sum(F.col("value") * F.element_at("u", i + 1)).alias(f"_{i}") for i in range(len(model.d))])
+    return part.select("cell_id", F.array(*[F.nanvl(f"_{i}", F.lit(0.0)) for i in range(len(model.d))]).alias("embedding"))
 
 
 def projection_check(a: DataFrame, b: DataFrame) -> DataFrame:

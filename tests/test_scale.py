@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromalake.operators import counting as ct, intervals as iv, knn, scores as sc
+from chromalake.operators import counting as ct, intervals as iv, knn, lsi, scores as sc
 
 
 def plan(df):
@@ -119,3 +119,18 @@ def test_blocks_stay_few_and_distances_small(spark, monkeypatch):
     y = np.random.default_rng(1).normal(size=(100_000, 2))
     knn._nearest(y[:100], np.arange(100), None, y, np.arange(len(y)), None, 2)
     assert max(seen) <= 1 << 22
+
+
+def test_decomposition_by_the_smaller_side(spark):
+    """Many features and few cells: nothing as long as the features reaches the driver."""
+    r = np.random.default_rng(3)
+    rows = [(f, f"c{c:02d}", int(v)) for c in range(40) for f in range(120) if (v := r.poisson(4.0 * (1 + c % 4) if f // 30 == c % 4 else 0.3))]
+    counts = spark.createDataFrame(rows, "feature_id int, cell_id string, value int").cache()
+    a, one = lsi.fit_lsi(spark, counts, 4, outlier_quantiles=None)
+    b, two = lsi.fit_lsi(spark, counts, 4, outlier_quantiles=None, small=0)
+    assert isinstance(one.u, np.ndarray) and not isinstance(two.u, np.ndarray) and np.allclose(one.d, two.d, rtol=1e-3)
+    table = lambda e: np.array([x["embedding"] for x in e.orderBy("cell_id").collect()])
+    assert np.allclose(table(a)[:, :3], table(b)[:, :3], atol=0.02 * one.d[0])
+    u = np.array([x["u"] for x in two.u.collect()])
+    assert np.allclose(u.T @ u, np.eye(u.shape[1]), atol=1e-3) and (u[np.abs(u).argmax(0), np.arange(u.shape[1])] > 0).all()
+    assert min(x["correlation"] for x in lsi.projection_check(b, lsi.project_cells(counts, two)).collect()) > 0.999
