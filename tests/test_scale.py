@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chromalake.operators import counting as ct, intervals as iv, knn, lsi, scores as sc
+from chromalake.functions import stats as st
+from chromalake.operators import counting as ct, intervals as iv, knn, lsi, qc, scores as sc
 
 
 def plan(df):
@@ -134,3 +135,24 @@ def test_decomposition_by_the_smaller_side(spark):
     u = np.array([x["u"] for x in two.u.collect()])
     assert np.allclose(u.T @ u, np.eye(u.shape[1]), atol=1e-3) and (u[np.abs(u).argmax(0), np.arange(u.shape[1])] > 0).all()
     assert min(x["correlation"] for x in lsi.projection_check(b, lsi.project_cells(counts, two)).collect()) > 0.999
+
+
+def test_adjusted_values_by_ranges(spark):
+    """Ties, nulls and several groups (one without a name), with no window over a whole group of rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["x", "y", None]), i, rng.choice([None, 0.0, 1.0, round(rng.random(), 2), rng.random() ** 4])) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, p double")
+    got = st.benjamini_hochberg(df, "p", "q", ["g"])
+    assert got.columns == ["g", "i", "p", "q"]
+    found = {r["i"]: r["q"] for r in got.collect()}
+    assert len(found) == 500
+    for name in ("x", "y", None):
+        ps = sorted((p, i) for g, i, p in rows if g == name and p is not None)
+        least, want = 1.0, {}
+        for r in range(len(ps), 0, -1):
+            least = min(least, ps[r - 1][0] * len(ps) / r)
+            want[ps[r - 1][1]] = least
+        assert all(found[i] == pytest.approx(q) for i, q in want.items())
+    assert all(found[i] is None for _, i, p in rows if p is None)
+    windows = [line for line in plan(got).splitlines() if "Window [" in line]
+    assert windows and all("_part" in line for line in windows)
