@@ -156,3 +156,14 @@ def test_adjusted_values_by_ranges(spark):
     assert all(found[i] is None for _, i, p in rows if p is None)
     windows = [line for line in plan(got).splitlines() if "Window [" in line]
     assert windows and all("_part" in line for line in windows)
+
+
+def test_neighbours_within_a_radius_make_no_rows(spark):
+    """Crowded, lone and repeated points, some a radius apart; squares wholly within reach are summed."""
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(0, 30, (300, 2)), r.integers(-9, 9, (200, 2)) * 10.0, [[1e5, -1e5], [1e5, -1e5 + 50]]])
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(-1, None, 1.0)], "cell_id int, u double, v double")
+    got = qc.neighbour_density(d, "u", "v", 50)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert {v["cell_id"]: v["neighbours"] for v in got.collect()} == {i: int((row <= 2500).sum()) - 1 for i, row in enumerate(d2)}
+    assert "MapInArrow" in plan(got) and "_px" not in plan(got)
