@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
@@ -13,6 +16,10 @@ from chromalake.operators.sweep import bin_window, in_bins
 from chromalake.runtime import materialize
 
 
+#: Peaks of runs a task picks from at once.
+MANY = 50_000
+
+
 def pileup(cuts: DataFrame, shift: int = -75, extend: int = 150) -> DataFrame:
     """(group, seqname, start, end, depth): runs of equal depth, 0-based half-open.
 
@@ -71,13 +78,13 @@ def call_peaks(cuts: DataFrame, genome_size: float, cutoff: float = 0.1, use_q:
     return region.select("group", "seqname", (middle + 1).alias("start"), (middle + 1).alias("end"), score.alias("score"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best peak stays and removes what it overlaps, and so on."""
+def _greedy(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """In each group the best peak stays and removes what it overlaps, and so on."""
     pdf = pdf.sort_values(["rank_by", "start"], ascending=[False, True], kind="stable")
-    starts, ends, keep = [], [], []
-    import bisect
-
-    for s, e in zip(pdf["start"], pdf["end"], strict=True):
+    kept: dict[int, tuple[list, list]] = {}
+    keep = []
+    for n, s, e in zip(pdf.groupby(group, dropna=False, sort=False).ngroup(), pdf["start"], pdf["end"], strict=True):
+        starts, ends = kept.setdefault(n, ([], []))
         i = bisect.bisect_right(starts, e)
         clash = i > 0 and ends[i - 1] >= s
         keep.append(not clash)
@@ -88,7 +95,10 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def remove_overlaps(peaks: DataFrame, by: str, key: list[str]) -> DataFrame:
-    """Greedy selection by ``by``; a group is a connected run of overlapping peaks, not a sequence."""
+    """Greedy selection by ``by``; a group is a connected run of overlapping peaks, not a sequence.
+
+    A task takes all its runs at once: they are many and short, and a call for each costs more than its work.
+    """
     spark = peaks.sparkSession
     # tables, as every sweep reads its input twice
     binned = in_bins(materialize(spark, peaks, "peaks"), key, F.col("start"), {"_reach": (F.max, F.col("end"))})
@@ -100,7 +110,16 @@ def remove_overlaps(peaks: DataFrame, by: str, key: list[str]) -> DataFrame:
     size = runs.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*key, "_run")))
     single = size.where("_n = 1").drop("_n")
     many = size.where("_n > 1").drop("_n")
-    picked = many.groupBy(*key, "_run").applyInPandas(_greedy, many.schema)
+    group = [*key, "_run"]
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if parts:
+            yield _greedy(pd.concat(parts, ignore_index=True), group)
+
+    rows = runs.count()
+    tasks = max(-(-rows // MANY), min(spark.sparkContext.defaultParallelism, -(-rows // 1000)), 1)
+    picked = many.repartition(tasks, *group).mapInPandas(pick, many.schema)
     return single.unionByName(picked).drop("_run", "rank_by")
 
 

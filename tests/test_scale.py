@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chromalake.functions import stats as st
-from chromalake.operators import counting as ct, intervals as iv, knn, lsi, qc, scores as sc
+from chromalake.operators import counting as ct, intervals as iv, knn, lsi, peaks, qc, scores as sc
 
 
 def plan(df):
@@ -167,3 +167,17 @@ def test_neighbours_within_a_radius_make_no_rows(spark):
     d2 = ((x[:, None] - x[None]) ** 2).sum(2)
     assert {v["cell_id"]: v["neighbours"] for v in got.collect()} == {i: int((row <= 2500).sum()) - 1 for i, row in enumerate(d2)}
     assert "MapInArrow" in plan(got) and "_px" not in plan(got)
+
+
+def test_short_runs_are_picked_together(spark):
+    """Many runs of overlapping peaks, one without a sequence name, in no call of their own."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), s := 100 * rng.randrange(400) + rng.randrange(30), s + 60, float(rng.randrange(5))) for _ in range(300)]
+    rows = list({r[:3]: r for r in rows}.values())
+    got = peaks.remove_overlaps(spark.createDataFrame(rows, "seqname string, start long, end long, score double"), "score", ["seqname"])
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[3], r[1])):
+        if not any(k[0] == r[0] and k[1] <= r[2] and r[1] <= k[2] for k in kept):
+            kept.append(r)
+    assert {tuple(r) for r in got.collect()} == set(kept)
+    assert "MapInPandas" in plan(got) and "FlatMapGroups" not in plan(got)
