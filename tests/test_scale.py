@@ -1,13 +1,14 @@
 """Dense inputs: few rows on the way, even where many pairs come out."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chromalake.functions import stats as st
-from chromalake.operators import counting as ct, intervals as iv, knn, lsi, peaks, qc, scores as sc
+from chromalake.operators import counting as ct, intervals as iv, knn, lsi, markers as mk, peaks, qc, scores as sc
 
 
 def plan(df):
@@ -181,3 +182,19 @@ def test_short_runs_are_picked_together(spark):
             kept.append(r)
     assert {tuple(r) for r in got.collect()} == set(kept)
     assert "MapInPandas" in plan(got) and "FlatMapGroups" not in plan(got)
+
+
+def test_ranks_shuffle_a_value_once(spark):
+    """Values go to their feature's task before they are copied to the groups of their cell."""
+    r = np.random.default_rng(3)
+    counts = spark.createDataFrame([(f, f"c{c}", int(v)) for f in range(6) for c in range(12) if (v := r.poisson(1.0))], "feature_id int, cell_id string, value int").cache()
+    members = [(g, f"c{c}", c % 3 == k) for k, g in enumerate("xyz") for c in range(12) if (c + k) % 5]
+    got = mk.rank_test(counts, spark.createDataFrame(members, "group string, cell_id string, inside boolean"))
+    value = {(x["feature_id"], x["cell_id"]): x["value"] for x in counts.collect()}
+    seen = 0
+    for x in got.collect():
+        ins, outs = ([value.get((x["feature_id"], c), 0) for g, c, i in members if g == x["group"] and i == side] for side in (True, False))
+        assert x["auc"] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in ins for b in outs])) and (x["sum1"], x["sum2"]) == (sum(ins), sum(outs))
+        seen += 1
+    assert seen == 18
+    assert not re.search(r"hashpartitioning\(group#\d+, feature_id", plan(got))
